@@ -71,6 +71,11 @@ def removed(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The size of the files behind df, as the planner knows it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case; all else as it is."""
     return F.translate(text, UPPER, UPPER.lower())

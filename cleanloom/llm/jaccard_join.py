@@ -19,19 +19,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.llm import _hashing
-from cleanloom.llm._common import cut, joined, removed, shipped, written
+from cleanloom.llm._common import cut, input_bytes, joined, removed, shipped, written
 from cleanloom.llm._components import connected_components
 from cleanloom.llm._hashing import mix, shingle_sets
 
 shipped(__name__)
 shipped(_hashing.__name__)
 
-#: Cells of the count sketch (a fixed bound on what is broadcast: four bytes each) and cells in a row of its table.
-SKETCH, STRIPE = 1 << 18, 1 << 12
+#: Least and most cells of the count sketch, whose levels (a byte each) are broadcast; cells in a row of its table.
+CELLS, STRIPE = (1 << 18, 1 << 24), 1 << 16
 #: Patterns that choose an entry's centres: the member with the least id XOR pattern.
 CENTRES = (0, 0x5DEECE66D5A3C7B1, 0x2545F4914F6CDD1D, 0x3C6EF372FE94F82B)
 ROUNDS = 2
@@ -41,27 +42,45 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _members(width: int):
+def sketch_cells(input_bytes: int) -> int:
+    """A power of two near a thirty-second of the input's bytes, so that a cell's chance load stays small, within CELLS."""
+    return min(max(1 << max(0, (input_bytes // 32).bit_length()), CELLS[0]), CELLS[1])
+
+
+def _members(width: int, cells: int):
     """One row for each text, and at the end the counts of all shingles seen, in stripes of sketch cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total, waiting, size = np.zeros(cells, np.uint32), [], 0
         for batch in batches:
             first = 0
             for _, part in _hashing.chunks(_texts(batch.column(1))):
                 sets = shingle_sets(part, width)
-                total += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                waiting += [(s & np.uint64(cells - 1)).astype(np.int32) for s in sets]
+                size += sum(map(len, sets))
+                if size > cells:
+                    np.add(total, np.bincount(np.concatenate(waiting), minlength=cells), out=total, casting="unsafe")
+                    waiting, size = [], 0
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield _row(batch.column(0)[first : first + len(part)], [len(s) for s in sets], digest, [None] * len(part), [None] * len(part))
                 first += len(part)
-        if total.any():
-            rows = total.astype("<u4").reshape(-1, STRIPE)
-            none = [None] * len(rows)
-            yield _row(pa.array(none, pa.int64()), none, none, range(len(rows)), [r.tobytes() for r in rows])
+        if size:
+            np.add(total, np.bincount(np.concatenate(waiting), minlength=cells), out=total, casting="unsafe")
+        for k, stripe in enumerate(total.reshape(-1, STRIPE)):
+            if stripe.any():
+                yield _row(pa.array([None], pa.int64()), [None], [None], [k], [_packed(stripe)])
 
     return run
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return zstandard.compress(counts.astype("<u4").tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), "<u4")
+
+
 def _row(doc_id, size, digest, stripe, cells) -> pa.RecordBatch:
     return pa.record_batch({"doc_id": doc_id, "n_shingles": pa.array(size, pa.int64()), "digest": pa.array(digest, pa.binary()), "stripe": pa.array(stripe, pa.int32()), "cells": pa.array(cells, pa.binary())})
 
@@ -70,20 +89,21 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            total[k] = total.get(k, 0) + np.frombuffer(cells, "<u4").astype(np.int64)
+            total[k] = total.get(k, 0) + _unpacked(cells).astype(np.int64)
     if total:
-        yield pa.record_batch({"stripe": pa.array(list(total), pa.int32()), "cells": pa.array([np.minimum(v, 0xFFFFFFFF).astype("<u4").tobytes() for v in total.values()], pa.binary())})
+        yield pa.record_batch({"stripe": pa.array(list(total), pa.int32()), "cells": pa.array([_packed(np.minimum(v, 0xFFFFFFFF)) for v in total.values()], pa.binary())})
 
 
-def frequency_levels(stripes: DataFrame) -> np.ndarray:
+def frequency_levels(stripes: DataFrame, cells: int) -> np.ndarray:
     """A level for each sketch cell from the counts of all shingles of all texts: 0 rare, then one more for each doubling."""
-    rows = stripes.repartition(8, "stripe").mapInArrow(_add, "stripe int, cells binary").collect()  # SKETCH cells at most
-    total = np.zeros(SKETCH, np.int64)
+    rows = stripes.repartition(8, "stripe").mapInArrow(_add, "stripe int, cells binary").collect()  # `cells` counts at most
+    levels = np.zeros(cells, np.uint8)
+    mean = sum(int(_unpacked(r.cells).sum(dtype=np.int64)) for r in rows) / cells
+    rare = mean + 6 * np.sqrt(mean) + 8
     for r in rows:
-        total[r.stripe * STRIPE : (r.stripe + 1) * STRIPE] = np.frombuffer(r.cells, "<u4")
-    mean = total.mean()
-    rare = mean + 8 * np.sqrt(mean) + 32
-    return np.where(total <= rare, 0, 1 + np.log2(np.maximum(total / rare, 1)).astype(np.int64)).astype(np.uint8)
+        count = _unpacked(r.cells)
+        levels[r.stripe * STRIPE : (r.stripe + 1) * STRIPE] = np.where(count <= rare, 0, 1 + np.log2(np.maximum(count / rare, 1)))
+    return levels
 
 
 @lru_cache(maxsize=256)
@@ -132,7 +152,7 @@ def _index(width: int, num: int, den: int, levels: np.ndarray):
                 sets = shingle_sets(part, width)
                 ids = batch.column(0)[first : first + len(part)].to_numpy(zero_copy_only=False)
                 first += len(part)
-                found = [signatures(s, levels[(s & np.uint64(SKETCH - 1)).astype(np.int64)], num, den) for s in sets]
+                found = [signatures(s, levels[(s & np.uint64(len(levels) - 1)).astype(np.int64)], num, den) for s in sets]
                 size = [len(x) for x in found]
                 yield pa.record_batch({"sig": pa.array(np.concatenate(found).view(np.int64)), "node": pa.array(np.repeat(ids, size)), "n": pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), size))})
 
@@ -197,9 +217,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
         raise ValueError("the similarity is a fraction num / den in (0, 1]")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
-    first = cut(docs.mapInArrow(_members(width), "doc_id long, n_shingles long, digest binary, stripe int, cells binary"))
+    cells = sketch_cells(input_bytes(docs))
+    first = cut(docs.mapInArrow(_members(width, cells), "doc_id long, n_shingles long, digest binary, stripe int, cells binary"))
     members = first.where("n_shingles is not null").select("doc_id", "n_shingles", "digest")
-    levels = frequency_levels(first.where("stripe is not null").select("stripe", "cells"))
+    levels = frequency_levels(first.where("stripe is not null").select("stripe", "cells"), cells)
     named = members.where("doc_id is not null and digest is not null")
     copies = cut(named.groupBy("digest").agg(F.min("doc_id").alias("node")))
     several = named.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("doc_id")
