@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cleanloom.llm._common import table
+from cleanloom.llm.compression_quality import fit, quality_scores, training_sample
 from cleanloom.llm.jaccard_join import jaccard_components
+from cleanloom.llm.lm_scoring import lm_scores
+
+
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under the backoff automaton learnt from six sevenths of them."""
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+def learnable() -> Column:
+    """The labels that the quality classifier may learn from."""
+    return F.crc32(F.col("doc_id").cast("string")) % 3 != 1
+
+
+def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality from dictionaries learnt from two thirds of the labels."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit(training_sample(docs, table(spark, sf_dir, "labels"), learnable()))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return quality_scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +34,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
-QUERIES = {"op5_jaccard_join": op5_jaccard_join}
+QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
+    "op3_compression_quality": op3_compression_quality,
+    "op5_jaccard_join": op5_jaccard_join,
+}
 
 SQL: dict[str, str] = {}
