@@ -9,6 +9,7 @@ from cleanloom.llm._common import table
 from cleanloom.llm.compression_quality import fit, quality_scores, training_sample
 from cleanloom.llm.jaccard_join import jaccard_components
 from cleanloom.llm.lm_scoring import lm_scores
+from cleanloom.llm.mixture import mix
 from cleanloom.llm.secret_scan import secret_spans
 from cleanloom.llm.url_filter import url_verdicts
 from cleanloom.llm.warc_revisit import page_revisits
@@ -56,6 +57,12 @@ def op9_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_revisits(table(spark, sf_dir, "pages"), least_bytes=1000)
 
 
+def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source to one and a half times their words."""
+    mixed = mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "shards")
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op3_compression_quality": op3_compression_quality,
@@ -63,6 +70,7 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_secret_scan": op6_secret_scan,
     "op9_warc_revisit": op9_warc_revisit,
+    "op10_mixture": op10_mixture,
 }
 
 SQL: dict[str, str] = {
