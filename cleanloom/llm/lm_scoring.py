@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ shipped(_hashing.__name__)
 
 #: Stands for the end of a text.
 END = np.uint64(0x0DDC0FFEE0DDF00D)
+#: Words keep 64-bit hashes; longer n-grams are sent without so many low bits.
+DROPPED = np.uint64(8)
 #: Input bytes of a block of documents.
 BLOCK_BYTES = 4 << 20
 
@@ -47,104 +50,123 @@ def _sequence(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ngrams(tokens: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For n from 1 to order: the positions at which an n-gram within one text ends, and the n-grams' hashes."""
+    """For n from 2 to order: the positions at which an n-gram within one text ends, and the n-grams' hashes."""
     place = np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))
-    out = [(np.arange(len(tokens)), tokens)]
-    h = tokens
+    out, h = [], tokens
     for n in range(2, order + 1):
         h = np.concatenate((np.zeros(1, np.uint64), mix(mix(h[:-1] + np.uint64(n)) ^ tokens[1:])))
         at = np.flatnonzero(place >= n - 1)
-        out.append((at, h[at]))
+        out.append((at, h[at] >> DROPPED))
     return out
 
 
-def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
-    """Sorted hashes belong to ascending shards."""
-    return ((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+class _Block:
+    """A block's distinct words and distinct longer n-grams, sorted by hash, and where each occurs."""
 
+    def __init__(self, block: pa.Table, order: int):
+        self.tokens, self.first = _sequence([x or b"" for x in block["text"].cast(pa.binary()).to_pylist()])
+        self.grams = _ngrams(self.tokens, self.first, order)
+        self.words, self.word_index = np.unique(self.tokens, return_inverse=True)
+        longer = np.concatenate([np.zeros(0, np.uint64), *(h for _, h in self.grams)])
+        self.longer, index = np.unique(longer, return_inverse=True)
+        self.index = np.split(index, np.cumsum([len(h) for _, h in self.grams])[:-1]) if self.grams else []
 
-def _distinct(tokens: np.ndarray, first: np.ndarray, order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    grams = _ngrams(tokens, first, order)
-    return np.unique(np.concatenate([h for _, h in grams])), grams
 
+def _bounds(hashes: np.ndarray, shards: int, bits: int) -> np.ndarray:
+    """Where each shard's part of sorted hashes of so many bits begins; the last entry is the end."""
+    steps = [(i << bits) // shards for i in range(1, shards)]
+    return np.concatenate(([0], np.searchsorted(hashes, np.array(steps, np.uint64)), [len(hashes)]))
 
-def _texts(column: pa.ChunkedArray) -> list[bytes]:
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+def _cut(values: np.ndarray, bounds: np.ndarray, delta: bool = False) -> list[bytes]:
+    return [packed(values[a:b], delta) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def packed(values: np.ndarray, delta: bool = False) -> bytes:
+    """Unsigned integers, or the steps between sorted ones, byte plane by byte plane and compressed."""
+    values = values.astype("<u8")
+    if delta:
+        values = np.diff(values, prepend=np.uint64(0))
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpacked(data: bytes, delta: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    values = np.ascontiguousarray(planes.T).view("<u8").ravel()
+    return np.cumsum(values, dtype=np.uint64) if delta else values
 
 
 def _requests(order: int, shards: int):
     def run(block: pa.Table) -> pa.Table:
-        tokens, first = _sequence(_texts(block["text"]))
-        values, grams = _distinct(tokens, first, order)
-        train = np.repeat(~block["held_out"].to_numpy(), np.diff(first))
-        counts = np.zeros(len(values), np.int64)
-        words = np.zeros(len(values), bool)
-        for n, (at, h) in enumerate(grams):
-            index = np.searchsorted(values, h)
-            counts += np.bincount(index[train[at]], minlength=len(values))
-            if not n:
-                words[index] = True
-        bounds = np.searchsorted(_shard(values, shards), np.arange(shards + 1, dtype=np.uint64))
-        cut = lambda x: [x[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        b = _Block(block, order)
+        train = np.repeat(~block["held_out"].to_numpy(), np.diff(b.first))
+        words = np.bincount(b.word_index[train], minlength=len(b.words))
+        longer = np.zeros(len(b.longer), np.int64)
+        for (at, _), index in zip(b.grams, b.index, strict=True):
+            longer += np.bincount(index[train[at]], minlength=len(longer))
+        by_word, by_gram = _bounds(b.words, shards, 64), _bounds(b.longer, shards, 64 - int(DROPPED))
         return pa.table({
             "shard": pa.array(np.arange(shards, dtype=np.int32)),
             "block": pa.array(np.full(shards, block["block"][0].as_py(), np.int32)),
-            "grams": pa.array(cut(values), pa.binary()),
-            "counts": pa.array(cut(counts.astype("<u4")), pa.binary()),
-            "words": pa.array(cut(words), pa.binary()),
+            "words": pa.array(_cut(b.words, by_word, True), pa.binary()),
+            "word_counts": pa.array(_cut(words, by_word), pa.binary()),
+            "grams": pa.array(_cut(b.longer, by_gram, True), pa.binary()),
+            "gram_counts": pa.array(_cut(longer, by_gram), pa.binary()),
         })
 
     return run
 
 
+def _totals(lists: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """The total of each distinct hash, and for each block its own list's totals."""
+    hashes = [unpacked(x, True) for x in lists]
+    values, index = np.unique(np.concatenate(hashes), return_inverse=True)
+    total = np.bincount(index, np.concatenate([unpacked(x) for x in counts]).astype(np.float64), len(values)).astype(np.int64)
+    bounds = np.cumsum([0, *map(len, hashes)])
+    return total, _cut(total[index], bounds)
+
+
 def _answers(part: pa.Table) -> pa.Table:
-    grams = [np.frombuffer(x, np.uint64) for x in part["grams"].to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, "<u4") for x in part["counts"].to_pylist()]).astype(np.float64)
-    words = np.concatenate([np.frombuffer(x, bool) for x in part["words"].to_pylist()])
-    values, index = np.unique(np.concatenate(grams), return_inverse=True)
-    total = np.bincount(index, counts, len(values)).astype(np.int64)
-    word = np.zeros(len(values), bool)
-    word[index[words]] = True
-    every = total[index].astype("<u4" if total.max(initial=0) < 1 << 32 else "<u8")
-    bounds = np.cumsum([0, *map(len, grams)])
-    n = len(grams)
+    words, word_totals = _totals(part["words"].to_pylist(), part["word_counts"].to_pylist())
+    _, gram_totals = _totals(part["grams"].to_pylist(), part["gram_counts"].to_pylist())
+    n = part.num_rows
     return pa.table({
         "block": part["block"],
         "shard": part["shard"],
-        "totals": pa.array([every[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
-        "wide": pa.array(np.full(n, every.itemsize, np.int32)),
-        "tokens": pa.array(np.full(n, total[word].sum())),
-        "types": pa.array(np.full(n, np.count_nonzero(total[word]))),
+        "word_totals": pa.array(word_totals, pa.binary()),
+        "gram_totals": pa.array(gram_totals, pa.binary()),
+        "tokens": pa.array(np.full(n, words.sum())),
+        "types": pa.array(np.full(n, np.count_nonzero(words))),
     })
 
 
 def _scores(order: int, mu: float):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        tokens, first = _sequence(_texts(block["text"]))
-        values, grams = _distinct(tokens, first, order)
-        rows = sorted(zip(answers["shard"].to_pylist(), answers["totals"].to_pylist(), answers["wide"].to_pylist(), strict=True), key=lambda x: x[0])
-        total = np.concatenate([np.frombuffer(x, f"<u{w}").astype(np.float64) for _, x, w in rows])
+        b = _Block(block, order)
+        answers = answers.sort_by("shard")
+        joint = lambda name: np.concatenate([unpacked(x) for x in answers[name].to_pylist()]).astype(np.float64)
+        word_totals, gram_totals = joint("word_totals"), joint("gram_totals")
+        held = [word_totals[b.word_index], *(gram_totals[i] for i in b.index)]
+        ends = [np.arange(len(b.tokens)), *(at for at, _ in b.grams)]
         train_tokens, types = sum(answers["tokens"].to_pylist()), sum(answers["types"].to_pylist())
-        held = [total[np.searchsorted(values, h)] for _, h in grams]
-        known = held[0] > 0
         base = np.log10((held[0] + 1) / (train_tokens + types + 1))
-        # arcs[i] is the weight from the state of the shorter history; each round extends the history by one token
+        # Each round gives every state its arcs by one more token of history: the state is the n-gram that ends before the token.
         weight = base.copy()
         for n in range(1, order):
-            at, count = grams[n][0], held[n]
-            state = np.zeros(len(tokens))
-            state[grams[n - 1][0]] = held[n - 1]
+            at, count = ends[n], held[n]
+            state = np.zeros(len(b.tokens))
+            state[ends[n - 1]] = held[n - 1]
             state = state[at - 1]
             arc = np.log10((count + mu * 10.0 ** weight[at]) / (state + mu))
             failure = np.log10(mu / (state + mu)) + weight[at]
             weight[at] = np.where(count > 0, arc, failure)
-        sums = lambda x: np.add.reduceat(x, first[:-1]) if len(x) else np.zeros(0)
+        sums = lambda x: np.add.reduceat(x, b.first[:-1]) if len(x) else np.zeros(0)
         return pa.table({
             "doc_id": block["doc_id"],
             "held_out": block["held_out"],
-            "n_tokens": pa.array(np.diff(first).astype(np.int64)),
-            "n_known": pa.array(sums(known.astype(np.int64)).astype(np.int64)),
-            "train_tokens": pa.array(np.full(len(first) - 1, train_tokens, np.int64)),
+            "n_tokens": pa.array(np.diff(b.first).astype(np.int64)),
+            "n_known": pa.array(sums((held[0] > 0).astype(np.int64)).astype(np.int64)),
+            "train_tokens": pa.array(np.full(len(b.first) - 1, train_tokens, np.int64)),
             "base_score": pa.array(sums(base).astype(np.float64)),
             "score": pa.array(sums(weight).astype(np.float64)),
         })
@@ -152,7 +174,7 @@ def _scores(order: int, mu: float):
     return run
 
 
-def lm_scores(docs: DataFrame, order: int = 2, mu: float = 4.0, folds: int = 7, fold: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 2, mu: float = 1000.0, folds: int = 7, fold: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs (doc_id, text).
 
     The model learns from the documents whose crc32(doc_id as text) mod `folds` is not `fold`; a null doc_id counts as
@@ -169,7 +191,7 @@ def lm_scores(docs: DataFrame, order: int = 2, mu: float = 4.0, folds: int = 7,
     shards = blocks
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held_out.alias("held_out"))
     keyed = keyed.withColumn("block", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(blocks)).cast("int")).repartition(tasks, "block")
-    sent = keyed.groupBy("block").applyInArrow(_requests(order, shards), "shard int, block int, grams binary, counts binary, words binary")
-    answers = sent.repartition(tasks, "shard").groupBy("shard").applyInArrow(_answers, "block int, shard int, totals binary, wide int, tokens long, types long")
+    sent = keyed.groupBy("block").applyInArrow(_requests(order, shards), "shard int, block int, words binary, word_counts binary, grams binary, gram_counts binary")
+    answers = sent.repartition(tasks, "shard").groupBy("shard").applyInArrow(_answers, "block int, shard int, word_totals binary, gram_totals binary, tokens long, types long")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return keyed.groupBy("block").cogroup(answers.repartition(tasks, "block").groupBy("block")).applyInArrow(_scores(order, mu), schema)
