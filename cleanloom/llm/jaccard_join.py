@@ -14,8 +14,8 @@ components go on.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -106,11 +106,6 @@ def frequency_levels(stripes: DataFrame, cells: int) -> np.ndarray:
     return levels
 
 
-@lru_cache(maxsize=256)
-def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.triu_indices(n, 1)
-
-
 def _classes(n: int, num: int, den: int) -> int:
     """How many classes the frequent shingles of a set of this size fall into: a power of two, about eight prefix shingles each."""
     return 1 << max(0, (n * (den - num) // (8 * den)).bit_length() - 1)
@@ -139,7 +134,7 @@ def signatures(values: np.ndarray, level: np.ndarray, num: int, den: int) -> np.
         for k in range(c) if len(common) > 1 else ():
             x = common[kind == k]
             if len(x) > 1:
-                i, j = _pairs(len(x)) if len(x) <= 64 else np.triu_indices(len(x), 1)
+                i, j = np.triu_indices(len(x), 1)
                 out.append(mix(mix(x[i] + np.uint64(2 * c + 1)) ^ x[j]))
     return np.unique(np.concatenate(out))
 
@@ -198,6 +193,13 @@ def _with_component(index: DataFrame, labels: DataFrame) -> DataFrame:
     return named.select("sig", "node", "n", F.coalesce("component", "node").alias("comp"))
 
 
+def _by_length(index: DataFrame, num: int, den: int) -> DataFrame:
+    """Entries split by set size: sizes that the similarity allows together lie in one band or in two that follow."""
+    width = max(1.001 * math.log(den / num), 1e-6)
+    band = F.floor(F.log("n") / F.lit(width))
+    return index.select(F.explode(F.array(band, band + 1)).alias("band"), "*").withColumn("sig", F.xxhash64("sig", "band")).drop("band")
+
+
 def _mixed(index: DataFrame) -> DataFrame:
     """The entries that hold more than one component."""
     several = index.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
@@ -227,9 +229,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     extra = named.select("doc_id").join(copies.select(F.col("node").alias("doc_id")), "doc_id", "left_anti").distinct()
     texts = joined(docs.where("doc_id is not null"), extra, ["doc_id"], "left_anti")
     whole, path = written(texts.mapInArrow(_index(width, num, den, levels), "sig long, node long, n int"), "jaccard-index")
-    groups = whole.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("sig")
-    index = cut(whole.join(groups, "sig").withColumn("comp", F.col("node")))
+    shared = whole.join(whole.groupBy("sig").count().where("count > 1").select("sig"), "sig")
+    index = cut(_by_length(shared, num, den).withColumn("comp", F.col("node")))
     removed(spark, path)
+    index = cut(_mixed(index))
     wanted = index.select(F.col("node").alias("doc_id")).distinct()
     sets = joined(docs, wanted, ["doc_id"], "left_semi").mapInArrow(_sets(width), "node long, members binary")
     sets, _ = written(sets, "jaccard-sets")
