@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cleanloom.llm._common import table
 from cleanloom.llm.compression_quality import fit, quality_scores, training_sample
 from cleanloom.llm.jaccard_join import jaccard_components
+from cleanloom.llm.line_dedup import drop_repeated_lines
 from cleanloom.llm.lm_scoring import lm_scores
 from cleanloom.llm.mixture import mix
 from cleanloom.llm.secret_scan import secret_spans
@@ -52,6 +53,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later copies of line runs of fifty words or more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return drop_repeated_lines(docs, min_words=50, report=True)
+
+
 def op9_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through written, resolved and reread archives."""
     return page_revisits(table(spark, sf_dir, "pages"), least_bytes=1000)
@@ -69,6 +76,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_secret_scan": op6_secret_scan,
+    "op7_line_dedup": op7_line_dedup,
     "op9_warc_revisit": op9_warc_revisit,
     "op10_mixture": op10_mixture,
 }
