@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cleanloom.llm._common import table
 from cleanloom.llm.compression_quality import fit, quality_scores, training_sample
+from cleanloom.llm.decontamination import decontamination_report
 from cleanloom.llm.jaccard_join import jaccard_components
 from cleanloom.llm.line_dedup import drop_repeated_lines
 from cleanloom.llm.lm_scoring import lm_scores
@@ -21,6 +22,11 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against all benchmark items."""
+    return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def learnable() -> Column:
     """The labels that the quality classifier may learn from."""
     return F.crc32(F.col("doc_id").cast("string")) % 3 != 1
@@ -72,6 +78,7 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_decontamination": op2_decontamination,
     "op3_compression_quality": op3_compression_quality,
     "op4_url_filter": op4_url_filter,
     "op5_jaccard_join": op5_jaccard_join,
