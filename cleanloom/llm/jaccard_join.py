@@ -8,7 +8,7 @@ shingle or, by the pigeonhole principle, a pair from one class. Candidates are t
 
 Exact copies of a set are collapsed before the index is built. Within an index entry no product of all members is made:
 each member is verified against a few centres, what links is merged, and only members of entries that still hold several
-components go on.
+components go on: in pairs where an entry is small, else block by block, so that a large group is never a table of its pairs.
 """
 
 from __future__ import annotations
@@ -33,9 +33,15 @@ shipped(_hashing.__name__)
 
 #: Least and most cells of the count sketch, whose levels (a byte each) are broadcast; cells in a row of its table.
 CELLS, STRIPE = (1 << 18, 1 << 24), 1 << 16
-#: Patterns that choose an entry's centres: the member with the least id XOR pattern.
-CENTRES = (0, 0x5DEECE66D5A3C7B1, 0x2545F4914F6CDD1D, 0x3C6EF372FE94F82B)
-ROUNDS = 2
+#: Centres of an entry that its members are verified against first.
+CENTRES = 4
+#: Entries of more members are not paired row by row: their members meet in blocks of BLOCK documents.
+COLD, BLOCK = 32, 512
+
+
+def _pattern(k: int) -> int:
+    """Chooses an entry's k-th centre: the member with the least id XOR pattern."""
+    return (k * 0x9E3779B97F4A7C15 >> 1) & (1 << 63) - 1
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -166,26 +172,132 @@ def _sets(width: int):
     return run
 
 
+def _parts(width: int, sixteenths: int):
+    """A hash-chosen part of each set, in 32 bits a shingle; n is the size of the whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = 0
+            for _, part in _hashing.chunks(_texts(batch.column(1))):
+                sets = shingle_sets(part, width)
+                some = [s[(s >> np.uint64(56)) % np.uint64(16) < sixteenths].astype("<u4").tobytes() for s in sets]
+                yield pa.record_batch({"node": batch.column(0)[first : first + len(part)], "n": pa.array([len(s) for s in sets], pa.int32()), "part": pa.array(some, pa.binary())})
+                first += len(part)
+
+    return run
+
+
+def _possible(num: int, den: int):
+    """Pairs that could be similar enough if all shingles outside the parts were shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, n, m in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                most = int(np.isin(x, y).sum()) + min(n - len(x), m - len(y))
+                keep.append(den * most >= num * (n + m - most))
+            yield pa.record_batch({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate((x, y))
+                both = np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
                 both.sort(kind="stable")
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(den * shared >= num * (len(x) + len(y) - shared))
+                keep.append(den * shared >= num * (len(both) - shared))
             yield pa.record_batch({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are as similar as asked; sets has one row for each node."""
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
-    two = one.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-    return two.select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a long, b long")
+def _both(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """pairs (a, b) with the columns of rows (node, ...) for either end, as x_... and y_..."""
+    for end, mark in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(rows.select(*(F.col(c).alias(end if c == "node" else f"{mark}_{c}") for c in rows.columns)), end)
+    return pairs
+
+
+def _links(pairs: DataFrame, docs: DataFrame, parts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are as similar as asked. The parts rule most pairs out before whole sets are read."""
+    maybe = _both(pairs, parts).select("a", "b", "x_part", "y_part", "x_n", "y_n").mapInArrow(_possible(num, den), "a long, b long")
+    maybe = cut(maybe)
+    wanted = maybe.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = joined(docs, wanted, ["doc_id"], "left_semi").mapInArrow(_sets(width), "node long, members binary")
+    return _both(maybe, sets).select("a", "b", "x_members", "y_members").mapInArrow(_verify(num, den), "a long, b long")
+
+
+def _meet(num: int, den: int):
+    """Links between different components within each run of rows of the same (lead, i, j)."""
+
+    def met(rows: list[tuple]) -> list[tuple[int, int]]:
+        i, j = rows[0][1:3]
+        sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+        own = np.array([r[3] for r in rows])
+        node = [r[4] for r in rows]
+        comp = np.unique([r[5] for r in rows], return_inverse=True)[1]
+        size = np.array([len(s) for s in sets])
+        values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        first = np.concatenate(([0], np.cumsum(size)[:-1]))
+        seen, found = np.zeros(len(values), np.int32), []
+        for k in range(len(rows)):
+            others = comp != comp[k]
+            if i != j:
+                others &= own != own[k]
+            others[:k] &= False
+            others &= (np.minimum(size, size[k]) * den >= np.maximum(size, size[k]) * num)
+            if not others.any():
+                continue
+            mine = ids[first[k] : first[k] + size[k]]
+            seen[mine] = 1
+            shared = np.add.reduceat(seen[ids], first)
+            seen[mine] = 0
+            for m in np.flatnonzero(others & (den * shared >= num * (size + size[k] - shared))):
+                if comp[m] != comp[k]:
+                    found.append((node[k], node[m]))
+                    comp[comp == comp[m]] = comp[k]
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and row[:3] != rows[0][:3]:
+                    found += met(rows)
+                    rows = []
+                rows.append(row)
+            yield _edges(found)
+        if rows:
+            yield _edges(met(rows))
+
+    return run
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def _block_links(hot: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links among the members (node, comp) of each group (lead), without a row for each pair.
+
+    A group is dealt into blocks of about BLOCK documents; each pair of blocks is a piece of work of bounded size.
+    """
+    sizes = hot.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = hot.join(sizes, "lead").withColumn("own", own)
+    dealt = dealt.select("lead", "own", "node", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp")
+    wanted = hot.select(F.col("node").alias("doc_id")).distinct()
+    sets = joined(docs, wanted, ["doc_id"], "left_semi").mapInArrow(_sets(width), "node long, members binary")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16)
+    rows = dealt.join(sets, "node").select("lead", "i", "j", "own", "node", "comp", "members").repartition(tasks, "lead", "i", "j")
+    return rows.sortWithinPartitions("lead", "i", "j").mapInArrow(_meet(num, den), "a long, b long")
 
 
 def _with_component(index: DataFrame, labels: DataFrame) -> DataFrame:
@@ -234,37 +346,31 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     removed(spark, path)
     index = cut(_mixed(index))
     wanted = index.select(F.col("node").alias("doc_id")).distinct()
-    sets = joined(docs, wanted, ["doc_id"], "left_semi").mapInArrow(_sets(width), "node long, members binary")
-    sets, _ = written(sets, "jaccard-sets")
+    sixteenths = min(16, math.ceil(40 * (den - num) / (den + num)))
+    parts, _ = written(joined(docs, wanted, ["doc_id"], "left_semi").mapInArrow(_parts(width, sixteenths), "node long, n int, part binary"), "jaccard-parts")
     same_id = named.join(several, "doc_id", "left_semi").join(copies, "digest")
     links = cut(same_id.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    labels = None
-    for _ in range(ROUNDS):
-        least = index.groupBy("sig").agg(*(F.min(F.col("node").bitwiseXOR(F.lit(p))).alias(f"c{k}") for k, p in enumerate(CENTRES)))
-        centre = F.explode(F.array(*(F.col(f"c{k}").bitwiseXOR(F.lit(p)) for k, p in enumerate(CENTRES))))
-        pairs = index.join(least, "sig").select("node", "n", centre.alias("centre")).where("node <> centre")
-        pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        if labels is not None:
-            pairs = _other_components(pairs, labels)
-        links = cut(links.union(_links(pairs, sets, num, den)))
-        labels = connected_components(links)
-        index = cut(_mixed(_with_component(index, labels)))
-    x, y = index.alias("x"), index.alias("y")
+    patterns = [F.lit(_pattern(k)) for k in range(CENTRES)]
+    least = index.groupBy("sig").agg(*(F.min(F.col("node").bitwiseXOR(p)).alias(f"c{k}") for k, p in enumerate(patterns)))
+    centre = F.explode(F.array(*(F.col(f"c{k}").bitwiseXOR(p) for k, p in enumerate(patterns))))
+    tested = index.join(least, "sig").select("node", centre.alias("centre")).where("node <> centre")
+    tested = cut(tested.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
+    links = cut(links.union(_links(tested, docs, parts, width, num, den)))
+    index = cut(_mixed(_with_component(index, connected_components(links))))
+    counts = index.groupBy("sig").agg(F.count("*").alias("size"), F.min("node").alias("lead"))
+    cold = index.join(counts.where(F.col("size") <= COLD).select("sig"), "sig")
+    x, y = cold.alias("x"), cold.alias("y")
     rest = x.join(y, F.expr(f"x.sig = y.sig and x.comp < y.comp and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}"))
     rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    labels = connected_components(links.union(_links(rest, sets, num, den)))
+    rest = cut(rest.join(tested, ["a", "b"], "left_anti"))
+    hot = index.join(counts.where(F.col("size") > COLD), "sig").select("lead", "node", "comp").distinct()
+    links = links.union(_links(rest, docs, parts, width, num, den)).union(_block_links(cut(hot), docs, width, num, den))
+    labels = connected_components(links)
     out = members.join(copies, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node"))
     labels = labels.select(F.col("id").alias("node"), "component")
     return out.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
 
 
-def _other_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are not yet in one component."""
-    for end in "ab":
-        pairs = pairs.join(labels.select(F.col("id").alias(end), F.col("component").alias(f"c{end}")), end, "left")
-    return pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-
-
 def drop_near_copies(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs of which one document of each component stays: that with the smallest doc_id.
 
