@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cleanloom.llm._common import table
+from cleanloom.llm.cap_filters import cap_filter_links
 from cleanloom.llm.compression_quality import fit, quality_scores, training_sample
 from cleanloom.llm.decontamination import decontamination_report
 from cleanloom.llm.jaccard_join import jaccard_components
@@ -65,6 +66,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(docs, min_words=50, report=True)
 
 
+def op8_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links at a cosine of nine tenths."""
+    return cap_filter_links(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op9_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through written, resolved and reread archives."""
     return page_revisits(table(spark, sf_dir, "pages"), least_bytes=1000)
@@ -84,6 +90,7 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_secret_scan": op6_secret_scan,
     "op7_line_dedup": op7_line_dedup,
+    "op8_cap_filters": op8_cap_filters,
     "op9_warc_revisit": op9_warc_revisit,
     "op10_mixture": op10_mixture,
 }
