@@ -64,14 +64,14 @@ def _members(width: int, cells: int):
                 sets = shingle_sets(part, width)
                 waiting += [(s & np.uint64(cells - 1)).astype(np.int32) for s in sets]
                 size += sum(map(len, sets))
-                if size > cells:
-                    np.add(total, np.bincount(np.concatenate(waiting), minlength=cells), out=total, casting="unsafe")
+                if size > 1 << 20:
+                    _count(total, waiting)
                     waiting, size = [], 0
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield _row(batch.column(0)[first : first + len(part)], [len(s) for s in sets], digest, [None] * len(part), [None] * len(part))
                 first += len(part)
         if size:
-            np.add(total, np.bincount(np.concatenate(waiting), minlength=cells), out=total, casting="unsafe")
+            _count(total, waiting)
         for k, stripe in enumerate(total.reshape(-1, STRIPE)):
             if stripe.any():
                 yield _row(pa.array([None], pa.int64()), [None], [None], [k], [_packed(stripe)])
@@ -79,6 +79,12 @@ def _members(width: int, cells: int):
     return run
 
 
+def _count(total: np.ndarray, cells: list[np.ndarray]) -> None:
+    """Add one to total for each cell named; equal cells are summed first, so that no second table is made."""
+    at, n = np.unique(np.concatenate(cells), return_counts=True)
+    total[at] += n.astype(np.uint32)
+
+
 def _packed(counts: np.ndarray) -> bytes:
     return zstandard.compress(counts.astype("<u4").tobytes(), 1)
 
@@ -105,7 +111,7 @@ def frequency_levels(stripes: DataFrame, cells: int) -> np.ndarray:
     rows = stripes.repartition(8, "stripe").mapInArrow(_add, "stripe int, cells binary").collect()  # `cells` counts at most
     levels = np.zeros(cells, np.uint8)
     mean = sum(int(_unpacked(r.cells).sum(dtype=np.int64)) for r in rows) / cells
-    rare = mean + 6 * np.sqrt(mean) + 8
+    rare = mean + 3 * np.sqrt(mean) + 3
     for r in rows:
         count = _unpacked(r.cells)
         levels[r.stripe * STRIPE : (r.stripe + 1) * STRIPE] = np.where(count <= rare, 0, 1 + np.log2(np.maximum(count / rare, 1)))
@@ -173,14 +179,14 @@ def _sets(width: int):
 
 
 def _parts(width: int, sixteenths: int):
-    """A hash-chosen part of each set, in 32 bits a shingle; n is the size of the whole."""
+    """A hash-chosen part of each set, in 16 bits a shingle; n is the size of the whole. Chance matches only let pairs pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first = 0
             for _, part in _hashing.chunks(_texts(batch.column(1))):
                 sets = shingle_sets(part, width)
-                some = [s[(s >> np.uint64(56)) % np.uint64(16) < sixteenths].astype("<u4").tobytes() for s in sets]
+                some = [s[(s >> np.uint64(56)) % np.uint64(16) < sixteenths].astype("<u2").tobytes() for s in sets]
                 yield pa.record_batch({"node": batch.column(0)[first : first + len(part)], "n": pa.array([len(s) for s in sets], pa.int32()), "part": pa.array(some, pa.binary())})
                 first += len(part)
 
@@ -194,7 +200,7 @@ def _possible(num: int, den: int):
         for batch in batches:
             keep = []
             for x, y, n, m in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                x, y = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
                 most = int(np.isin(x, y).sum()) + min(n - len(x), m - len(y))
                 keep.append(den * most >= num * (n + m - most))
             yield pa.record_batch({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(keep, pa.bool_()))
@@ -346,7 +352,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     removed(spark, path)
     index = cut(_mixed(index))
     wanted = index.select(F.col("node").alias("doc_id")).distinct()
-    sixteenths = min(16, math.ceil(40 * (den - num) / (den + num)))
+    sixteenths = min(16, math.ceil(36 * (den - num) / (den + num)))
     parts, _ = written(joined(docs, wanted, ["doc_id"], "left_semi").mapInArrow(_parts(width, sixteenths), "node long, n int, part binary"), "jaccard-parts")
     same_id = named.join(several, "doc_id", "left_semi").join(copies, "digest")
     links = cut(same_id.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
