@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -79,13 +80,13 @@ def parse_datetime(c: Column, fmt: str | None = None, dayfirst: bool = False) ->
     return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in formats)).cast("timestamp_ntz")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode compatibility composition, which Spark has no function for."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def title(s: pd.Series) -> pd.Series:
     """A capital after every character that is no letter; Spark's initcap looks at blanks only."""
     return s.map(lambda x: None if x is None else x.title())
