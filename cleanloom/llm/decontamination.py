@@ -25,32 +25,30 @@ UNITS = (
 WINDOW, LITERALS = 5, 2
 
 
-def template(text: Column) -> Column:
-    """The template tokens of a text, as many as it has words."""
-    blank = r"[\x20\x09-\x0D]"
-    t = F.translate(F.coalesce(text, F.lit("")), NUMBER + UNIT + NAME, "???")
-    t = F.regexp_replace(t, rf"(?<=[\p{{L}}\p{{N}}%$])[\p{{P}}&&[^%.!?:]]+(?=[.!?:]*(?:{blank}|$))", "")
-    t = F.regexp_replace(t, rf"(?:(?<={blank})|^)[\p{{P}}&&[^%]]+(?=[\p{{L}}\p{{N}}$])", "")
-    t = F.regexp_replace(t, rf"(?<=[^{blank[1:-1]}.!?:]{blank})\p{{Lu}}\p{{Ll}}+(?=[.!?:]*(?:{blank}|$|['’]))", NAME)
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])[+-]?\p{N}+(?:[.,:/]\p{N}+)*", NUMBER)
-    t = F.regexp_replace(t, rf"(?<={NUMBER}{blank}?)(?i:{'|'.join(u.replace('$', '[$]') for u in sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", UNIT)
-    t = F.regexp_replace(t, rf"(?<=[\p{{L}}\p{{N}}{NUMBER}{UNIT}{NAME}])[.!?:]+(?={blank}|$)", "")
-    return words(lower_ascii(t))
+#: Signs that fall away before the patterns run, and those that end sentences and fall away after them.
+SOFT, HARD = ",;\"'()[]{}<>«»“”„‘’…", ".!?:"
+
 
+def _bare(text: Column) -> Column:
+    """The words that slots are read from; as many as the template has tokens."""
+    return words(lower_ascii(F.translate(F.coalesce(text, F.lit("")), SOFT + HARD, "")))
 
-def _hashed(tokens: Column) -> Column:
-    """For each token its hash h, and lit: 1 if it is no placeholder."""
-    return F.transform(tokens, lambda w: F.struct(F.xxhash64(w).alias("h"), F.when(F.rlike(w, F.lit(f"[{NUMBER}{UNIT}{NAME}]")), 0).otherwise(1).alias("lit")))
+
+def template(text: Column) -> Column:
+    """The template tokens of a text. Each pattern begins with the character that it needs, so that most text is passed over fast."""
+    blank = r"[\x20\x09-\x0D]"
+    t = F.translate(F.coalesce(text, F.lit("")), NUMBER + UNIT + NAME + SOFT, "???")
+    t = F.regexp_replace(t, rf"\p{{Lu}}(?<=[^\x20\x09-\x0D.!?:]{blank}\p{{Lu}})\p{{Ll}}+(?=[.!?:]*(?:{blank}|$))", NAME)
+    t = F.regexp_replace(t, r"\p{N}(?<![\p{L}\p{N}].)\p{N}*(?:[.:/]\p{N}+)*", NUMBER)
+    t = F.regexp_replace(t, rf"{NUMBER}({blank}?)(?i:{'|'.join(u.replace('$', '[$]') for u in sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1{UNIT}")
+    return words(lower_ascii(F.translate(t, HARD, "")))
 
 
 def _positions(source: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, window hash w and position p for each window with enough literals."""
-    rows = source.select(*keys, _hashed(F.col("template")).alias("t")).where(F.size("t") >= WINDOW)
-    at = lambda i, j: F.get("t", i + j)
-    literals = lambda i: sum((at(i, j)["lit"] for j in range(1, WINDOW)), at(i, 0)["lit"])
-    number = F.sequence(F.lit(0), F.size("t") - WINDOW)
-    hashes = F.transform(number, lambda i: F.when(literals(i) >= LITERALS, F.xxhash64(*(at(i, j)["h"] for j in range(WINDOW)))))
-    return rows.select(*keys, F.posexplode(hashes).alias("p", "w")).where("w is not null")
+    """keys, window hash w and position p for each window of the texts."""
+    rows = source.select(*keys, F.transform(template(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    hashes = F.transform(F.sequence(F.lit(1), F.size("h") - WINDOW + 1), lambda i: F.xxhash64(F.slice("h", i, WINDOW)))
+    return rows.select(*keys, F.posexplode(F.when(F.size("h") >= WINDOW, hashes)).alias("p", "w"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
@@ -60,24 +58,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int
     exact says that the slots' values are the item's own. rid is a hash of doc_id and text. Items without a window, such as
     those of fewer than five words, and null texts are never held.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item_text")).where("item_text is not null").distinct()
-    items = items.withColumn("template", template(F.col("item_text")))
-    item_windows = _positions(items, ["item_id", "item_text"]).withColumnRenamed("p", "q")
-    counts = item_windows.groupBy("item_id", "item_text").agg(F.count("*").alias("n_windows"))
-    item_windows = item_windows.join(counts, ["item_id", "item_text"]).select("w", "item_id", F.xxhash64("item_text").alias("iid"), "q", "n_windows")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    literal = F.transform(template(F.col("text")), lambda w: F.when(F.rlike(w, F.lit(f"[{NUMBER}{UNIT}{NAME}]")), 0).otherwise(1))
+    marks = items.select("item_id", F.xxhash64("text").alias("iid"), literal.alias("lit"))
+    enough = F.aggregate(F.slice("lit", F.col("q") + 1, WINDOW), F.lit(0), lambda a, x: a + x) >= LITERALS
+    item_windows = _positions(items.withColumn("iid", F.xxhash64("text")), ["item_id", "iid"]).withColumnRenamed("p", "q")
+    item_windows = item_windows.join(marks, ["item_id", "iid"]).where(enough).select("w", "item_id", "iid", "q")
+    counts = item_windows.groupBy("item_id", "iid").agg(F.count("*").alias("n_windows"))
+    item_windows = item_windows.join(counts, ["item_id", "iid"])
     plain = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     plain = plain.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
-    found = joined(_positions(plain.select("doc_id", "rid", template(F.col("text")).alias("template")), ["doc_id", "rid"]), item_windows, ["w"], "inner")
+    found = joined(_positions(plain, ["doc_id", "rid"]), item_windows, ["w"], "inner")
     found = found.withColumn("offset", F.col("p") - F.col("q"))
     found = found.groupBy("doc_id", "rid", "item_id", "iid", "offset", "n_windows").agg(F.count("*").alias("n_matched")).where(f"n_matched * {den} >= n_windows * {num}")
     # the slots of the few documents that are left
     texts = joined(plain, found.select("rid").distinct(), ["rid"], "left_semi").dropDuplicates(["rid"]).select("rid", "text")
-    slots = found.join(texts, "rid").join(items.select("item_id", F.xxhash64("item_text").alias("iid"), "item_text", "template"), ["item_id", "iid"])
-    slots = slots.withColumn("own", words(lower_ascii(F.col("text")))).withColumn("its", words(lower_ascii(F.col("item_text"))))
-    bare = lambda w: F.regexp_replace(w, r"^[\p{P}&&[^%+-]]+|[\p{P}&&[^%]]+$", "")
+    item_texts = items.select("item_id", F.xxhash64("text").alias("iid"), _bare(F.col("text")).alias("its"), template(F.col("text")).alias("template"))
+    slots = found.join(texts.select("rid", _bare(F.col("text")).alias("own")), "rid").join(item_texts, ["item_id", "iid"])
     number = F.sequence(F.lit(0), F.size("template") - 1)
-    pair = lambda i: F.struct(bare(F.get("its", i)).alias("x"), bare(F.get("own", i + F.col("offset"))).alias("y"))
-    pairs = F.transform(F.filter(number, lambda i: F.rlike(F.get("template", i), F.lit(f"[{NUMBER}{UNIT}{NAME}]")) & F.get("own", i + F.col("offset")).isNotNull()), pair)
+    slot = lambda i: F.rlike(F.get("template", i), F.lit(f"[{NUMBER}{UNIT}{NAME}]")) & F.get("own", i + F.col("offset")).isNotNull()
+    pairs = F.transform(F.filter(number, slot), lambda i: F.struct(F.get("its", i).alias("x"), F.get("own", i + F.col("offset")).alias("y")))
     slots = slots.withColumn("pairs", F.array_distinct(pairs))
     slots = slots.withColumn("agree", F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda s: s["x"]))))
     slots = slots.withColumn("exact", ~F.exists("pairs", lambda s: s["x"] != s["y"]))

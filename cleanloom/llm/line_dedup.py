@@ -35,7 +35,6 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     lines = F.split(F.col("text"), "\n")
     item = lambda x, i: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(3), x).alias("b"), F.regexp_count(x, F.lit(WORD)).alias("w"), i.alias("i"))
     rows = docs.where("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.filter(F.transform(lines, item), lambda x: x["w"] > 0).alias("l0"))
-    rows = rows.where(F.size("l0") > 0)
     for k in range(levels):
         rows = rows.withColumn(f"l{k + 1}", _doubled(F.col(f"l{k}"), 1 << k))
     names = F.array(*(F.transform(f"l{k}", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["w"].alias("w"))) for k in range(levels + 1)))
@@ -57,7 +56,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
         return F.aggregate(downwards, zero, step)["n"]
 
-    number = F.sequence(F.lit(0), F.col("n") - 1)
+    number = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     rows = rows.withColumn("fwd", F.transform(number, lambda i: longest_below(i, False) + 1))
     rows = rows.withColumn("bwd", F.transform(number, lambda i: longest_below(i, True) + 1))
     forward = F.transform(number, lambda i: F.struct(i.alias("i"), F.get("fwd", i).alias("len")))
