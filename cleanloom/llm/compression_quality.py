@@ -81,16 +81,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, ..
     """Weights and intercept by Newton's method, with targets drawn in and a small penalty so that separable classes settle."""
     pos, neg = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    design = np.column_stack((x, np.ones(len(x))))
+    scale = x.std(0) + 1e-9
+    design = np.column_stack((x / scale, np.ones(len(x))))
     w = np.zeros(design.shape[1])
+
+    def loss(w):
+        z = np.clip(design @ w, -30, 30)
+        return float(np.sum(np.logaddexp(0, z) - target * z) + 1e-3 * w @ w)
+
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        gradient = design.T @ (p - target) + 1e-4 * w
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-4 * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w -= step
-        if abs(step).max() < 1e-9:
+        gradient = design.T @ (p - target) + 2e-3 * w
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + 2e-3 * np.eye(len(w))
+        step, size = np.linalg.solve(hessian, gradient), 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w -= size * step
+        if abs(size * step).max() < 1e-9:
             break
+    w[:-1] /= scale
     return tuple(map(float, w))
 
 
