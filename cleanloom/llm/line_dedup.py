@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cleanloom.llm._common import WORD, joined
+from cleanloom.llm._common import WORD, cut, joined
 
 
 def _doubled(ids: Column, step: int) -> Column:
@@ -104,7 +104,7 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = 50, report: bool = Fal
     doc_id, text = F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index('text')}")
     keyed = inner.withColumn("rid", F.xxhash64(doc_id, text)).withColumn("id", F.coalesce(doc_id, F.lit(0)))
     runs = repeated_runs(inner.select(doc_id.alias("doc_id"), text.cast("string").alias("text")), min_words)
-    runs = runs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "rid", "spans")
+    runs = cut(runs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "rid", "spans"))
     both = joined(keyed, runs, ["id", "rid"], "left")
     lines = F.split(text, "\n")
     gone = lambda i: F.exists("spans", lambda x: (i >= x["s"]) & (i <= x["e"]))
