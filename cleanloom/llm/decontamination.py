@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cleanloom.llm._common import joined, lower_ascii, words
+from cleanloom.llm._common import cut, joined, lower_ascii, words
 
 #: The placeholders: private-use characters, which no word pattern below touches.
 NUMBER, UNIT, NAME = "", "", ""
@@ -71,6 +71,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int
     found = joined(_positions(plain, ["doc_id", "rid"]), item_windows, ["w"], "inner")
     found = found.withColumn("offset", F.col("p") - F.col("q"))
     found = found.groupBy("doc_id", "rid", "item_id", "iid", "offset", "n_windows").agg(F.count("*").alias("n_matched")).where(f"n_matched * {den} >= n_windows * {num}")
+    found = cut(found)
     # the slots of the few documents that are left
     texts = joined(plain, found.select("rid").distinct(), ["rid"], "left_semi").dropDuplicates(["rid"]).select("rid", "text")
     item_texts = items.select("item_id", F.xxhash64("text").alias("iid"), _bare(F.col("text")).alias("its"), template(F.col("text")).alias("template"))
@@ -93,7 +94,7 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, num: int = 80,
     """
     held = contaminated(docs, benchmark, num, den)
     best = F.min(F.struct((-F.col("n_matched") / F.col("n_windows")).alias("share"), "item_id"))
-    held = held.groupBy("rid").agg(F.count("*").alias("n_items"), best.alias("best"))
+    held = cut(held.groupBy("rid").agg(F.count("*").alias("n_items"), best.alias("best")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("rid"))
     out = joined(rows, held, ["rid"], "left")
     return out.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.col("best.item_id").alias("item_id"), (-F.col("best.share")).alias("coverage"))
@@ -102,6 +103,7 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, num: int = 80,
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs, with all their columns, that hold no item of benchmark."""
     held = contaminated(docs, benchmark, num, den).select(F.col("rid").alias("_held")).distinct()
+    held = cut(held)
     names = docs.columns
     inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
     rid = F.xxhash64(F.col(f"c{names.index('doc_id')}").cast("long"), F.col(f"c{names.index('text')}").cast("string"))
