@@ -351,9 +351,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     index = cut(_by_length(shared, num, den).withColumn("comp", F.col("node")))
     removed(spark, path)
     index = cut(_mixed(index))
-    wanted = index.select(F.col("node").alias("doc_id")).distinct()
     sixteenths = min(16, math.ceil(36 * (den - num) / (den + num)))
-    parts, _ = written(joined(docs, wanted, ["doc_id"], "left_semi").mapInArrow(_parts(width, sixteenths), "node long, n int, part binary"), "jaccard-parts")
+    parts, _ = written(texts.mapInArrow(_parts(width, sixteenths), "node long, n int, part binary"), "jaccard-parts")
     same_id = named.join(several, "doc_id", "left_semi").join(copies, "digest")
     links = cut(same_id.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     patterns = [F.lit(_pattern(k)) for k in range(CENTRES)]
