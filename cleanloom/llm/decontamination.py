@@ -3,7 +3,8 @@
 Text and benchmark items become templates: numbers, names and units turn into typed placeholders, the rest is lowered and
 loses the punctuation around words, word by word, so that a template has as many tokens as the text has words. Windows of
 five template tokens are hash-joined. A document holds an item when enough of the item's windows lie in it at
-one alignment, and when the slots agree: each value in the item's slots must stand for one value in the document's.
+one alignment, give or take a drift of some words, and when the slots agree: each value in the item's slots must stand
+for one value in the document's.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ UNITS = (
 ).split()
 #: Tokens of a window, and how many of them must be no placeholder for the window to count.
 WINDOW, LITERALS = 5, 2
+#: Words by which any item may drift within a document.
+DRIFT = 8
 
 
 #: Signs that fall away before the patterns run, and those that end sentences and fall away after them.
@@ -51,10 +54,57 @@ def _positions(source: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.posexplode(F.when(F.size("h") >= WINDOW, hashes)).alias("p", "w"))
 
 
+def _matched(band: str) -> Column:
+    """How many windows of the item the offsets of a band match, each counted once."""
+    return F.size(F.array_distinct(F.flatten(F.transform(band, lambda b: b["qs"]))))
+
+
+def _bands(found: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
+    """keys and band, the offsets (offset, qs) that lie together: each offset alone, and each run of offsets within the drift.
+
+    Words put in or taken out shift the rest of an item; it may drift by as many words as windows may be missing, DRIFT at least.
+    """
+    drift = F.greatest(F.lit(DRIFT), F.floor(F.col("n_windows") * (den - num) / den).cast("int"))
+    starts = found.withColumn("start", F.explode(F.transform(F.sequence(F.lit(0), drift), lambda k: F.col("at.offset") - k)))
+    wide = starts.groupBy(*keys, "start").agg(F.array_sort(F.collect_list("at")).alias("band")).drop("start")
+    both = found.select(*keys, F.array("at").alias("band")).unionByName(wide)
+    return both.withColumn("offsets", F.col("band.offset")).dropDuplicates(["rid", "item_id", "iid", "offsets"]).drop("offsets")
+
+
+def _kinds(text: Column) -> Column:
+    """A letter for each template token: n for a name, s for another slot, x for the rest."""
+    kind = lambda w: F.when(w == NAME, "n").when(F.rlike(w, F.lit(f"[{NUMBER}{UNIT}{NAME}]")), "s").otherwise("x")
+    return F.array_join(F.transform(template(text), kind), "")
+
+
+def _place(i: Column) -> Column:
+    """The offset of the item's token i in the band: that of the matched windows over it, of most windows if there are several.
+
+    A token under no matched window has a place only where the band is a single offset.
+    """
+    over = F.filter("band", lambda b: F.exists(b["qs"], lambda q: (q <= i) & (q > i - WINDOW)))
+    best = F.array_min(F.transform(over, lambda b: F.struct((-F.size(b["qs"])).alias("n"), b["offset"].alias("offset"))))
+    return F.coalesce(best["offset"], F.when(F.size("band") == 1, F.element_at("band", 1)["offset"]))
+
+
+def _pair(i: Column, p: Column) -> Column:
+    """The value x of the item's slot i and y of the document's slot p; whole names where they differ in their number of words."""
+    run = lambda kinds: F.length(F.regexp_extract(kinds, "^n*", 0))
+    name = lambda kinds, at: F.substr(kinds, at + 1, F.lit(1)) == "n"
+    before = lambda kinds, at: F.when(name(kinds, at), run(F.reverse(F.substr(kinds, F.lit(1), at)))).otherwise(0)
+    after = lambda kinds, at: F.when(name(kinds, at), run(F.substr(kinds, at + 1))).otherwise(1)
+    whole = lambda tokens, kinds, at: F.array_join(F.slice(tokens, at + 1 - before(kinds, at), before(kinds, at) + after(kinds, at)), " ")
+    its, own, mine, theirs = F.col("its"), F.col("own"), F.col("its_kinds"), F.col("own_kinds")
+    same = before(mine, i) + after(mine, i) == before(theirs, p) + after(theirs, p)
+    x = F.when(same, F.get(its, i)).otherwise(whole(its, mine, i))
+    y = F.when(same, F.get(own, p - before(theirs, p) + before(mine, i))).otherwise(whole(own, theirs, p))
+    return F.struct(x.alias("x"), F.when(F.get(own, p).isNotNull(), y).alias("y"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, rid, item_id, n_windows, n_matched and exact for each document and item that it holds.
 
-    An item is held when at one alignment den * matched windows >= num * all windows of the item, and its slots agree.
+    An item is held when in one band of alignments den * matched windows >= num * all windows of the item, and its slots agree.
     exact says that the slots' values are the item's own. rid is a hash of doc_id and text. Items without a window, such as
     those of fewer than five words, and null texts are never held.
     """
@@ -69,17 +119,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int
     plain = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     plain = plain.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
     found = joined(_positions(plain, ["doc_id", "rid"]), item_windows, ["w"], "inner")
-    found = found.withColumn("offset", F.col("p") - F.col("q"))
-    found = found.groupBy("doc_id", "rid", "item_id", "iid", "offset", "n_windows").agg(F.count("*").alias("n_matched")).where(f"n_matched * {den} >= n_windows * {num}")
-    found = cut(found)
+    keys = ["doc_id", "rid", "item_id", "iid", "n_windows"]
+    found = found.groupBy(*keys, (F.col("p") - F.col("q")).alias("offset")).agg(F.collect_set("q").alias("qs"))
+    found = found.groupBy(*keys).agg(F.collect_list(F.struct("offset", "qs")).alias("band")).where(_matched("band") * den >= F.col("n_windows") * num)
+    found = cut(found.select(*keys, F.explode("band").alias("at")))
+    found = cut(_bands(found, keys, num, den).withColumn("n_matched", _matched("band")).where(F.col("n_matched") * den >= F.col("n_windows") * num))
     # the slots of the few documents that are left
     texts = joined(plain, found.select("rid").distinct(), ["rid"], "left_semi").dropDuplicates(["rid"]).select("rid", "text")
-    item_texts = items.select("item_id", F.xxhash64("text").alias("iid"), _bare(F.col("text")).alias("its"), template(F.col("text")).alias("template"))
-    slots = found.join(texts.select("rid", _bare(F.col("text")).alias("own")), "rid").join(item_texts, ["item_id", "iid"])
-    number = F.sequence(F.lit(0), F.size("template") - 1)
-    slot = lambda i: F.rlike(F.get("template", i), F.lit(f"[{NUMBER}{UNIT}{NAME}]")) & F.get("own", i + F.col("offset")).isNotNull()
-    pairs = F.transform(F.filter(number, slot), lambda i: F.struct(F.get("its", i).alias("x"), F.get("own", i + F.col("offset")).alias("y")))
-    slots = slots.withColumn("pairs", F.array_distinct(pairs))
+    item_texts = items.select("item_id", F.xxhash64("text").alias("iid"), _bare(F.col("text")).alias("its"), _kinds(F.col("text")).alias("its_kinds"))
+    slots = found.join(texts.select("rid", _bare(F.col("text")).alias("own"), _kinds(F.col("text")).alias("own_kinds")), "rid").join(item_texts, ["item_id", "iid"])
+    number = F.filter(F.sequence(F.lit(0), F.size("its") - 1), lambda i: F.substr("its_kinds", i + 1, F.lit(1)) != "x")
+    pairs = F.transform(F.transform(number, lambda i: F.struct(i.alias("i"), (i + _place(i)).alias("p"))), lambda s: _pair(s["i"], s["p"]))
+    slots = slots.withColumn("pairs", F.array_distinct(F.filter(pairs, lambda s: s["y"].isNotNull())))
     slots = slots.withColumn("agree", F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda s: s["x"]))))
     slots = slots.withColumn("exact", ~F.exists("pairs", lambda s: s["x"] != s["y"]))
     held = slots.where("agree").groupBy("doc_id", "rid", "item_id")

@@ -170,6 +170,24 @@ def test_decontamination(spark):
     assert drop_contaminated(odd_documents(spark), bench.where("false")).count() == 9
 
 
+def test_decontamination_drift(spark):
+    w = prose(11, 40).split()
+    item = "now Tom has 12 apples and gives Mary 5 km of rope before he walks with Tom to the old mill near the wide river"
+    wide = "now Ann Lee has 31 apples and gives Rose 8 km of rope before he walks with Ann Lee to the old mill near the wide river"
+    texts = {
+        1: [*w[:20], "extra", *w[20:]],
+        2: [*w[:20], *w[21:]],
+        3: [*w[:20], *prose(12, 200).split(), *w[20:]],
+        4: wide.split(),
+        5: wide.replace("with Ann Lee", "with Eve Lee").split(),
+        6: [*w[:20]],
+    }
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()] + [(6, " ".join(w[:20]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(w)), (2, item)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination_report(docs, bench, 70, 100).collect()}
+    assert got == {(1, 1), (2, 1), (3, None), (4, 2), (5, None), (6, None)}
+
+
 def test_cap_filters(spark):
     draw = np.random.default_rng(2)
     base = draw.standard_normal((150, 64))
