@@ -16,6 +16,8 @@ from cleanloom.llm._common import cut, joined, lower_ascii, words
 
 #: The placeholders: private-use characters, which no word pattern below touches.
 NUMBER, UNIT, NAME = "", "", ""
+#: The sign before a capitalised word that begins a text or a sentence: a name or not.
+MARK = ""
 #: Units of measure that turn into a placeholder after a number.
 UNITS = (
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t ton tons oz lb lbs ml l liter liters litre litres "
@@ -38,20 +40,31 @@ def _bare(text: Column) -> Column:
 
 
 def template(text: Column) -> Column:
-    """The template tokens of a text. Each pattern begins with the character that it needs, so that most text is passed over fast."""
+    """The template tokens of a text; a capitalised word that begins a sentence keeps its letters behind a MARK. Each pattern begins with the character that it needs, so that most text is passed over fast."""
     blank = r"[\x20\x09-\x0D]"
-    t = F.translate(F.coalesce(text, F.lit("")), NUMBER + UNIT + NAME + SOFT, "???")
+    t = F.translate(F.coalesce(text, F.lit("")), NUMBER + UNIT + NAME + MARK + SOFT, "????")
     t = F.regexp_replace(t, rf"\p{{Lu}}(?<=[^\x20\x09-\x0D.!?:]{blank}\p{{Lu}})\p{{Ll}}+(?=[.!?:]*(?:{blank}|$))", NAME)
+    t = F.regexp_replace(t, rf"\p{{Lu}}(?<![^\x20\x09-\x0D]\p{{Lu}})\p{{Ll}}+(?=[.!?:]*(?:{blank}|$))", f"{MARK}$0")
     t = F.regexp_replace(t, r"\p{N}(?<![\p{L}\p{N}].)\p{N}*(?:[.:/]\p{N}+)*", NUMBER)
     t = F.regexp_replace(t, rf"{NUMBER}({blank}?)(?i:{'|'.join(u.replace('$', '[$]') for u in sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1{UNIT}")
     return words(lower_ascii(F.translate(t, HARD, "")))
 
 
 def _positions(source: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, window hash w and position p for each window of the texts."""
-    rows = source.select(*keys, F.transform(template(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    hashes = F.transform(F.sequence(F.lit(1), F.size("h") - WINDOW + 1), lambda i: F.xxhash64(F.slice("h", i, WINDOW)))
-    return rows.select(*keys, F.posexplode(F.when(F.size("h") >= WINDOW, hashes)).alias("p", "w"))
+    """keys, window hash w, position p and loose for each window of the texts.
+
+    A window with words that begin a sentence has two rows: with these words as they are, and, loose, as names.
+    """
+    first = lambda w: F.startswith(w, F.lit(MARK))
+    rows = source.select(*keys, template(F.col("text")).alias("t"))
+    rows = rows.select(*keys, "t", F.transform("t", lambda w: F.xxhash64(F.when(first(w), F.substr(w, F.lit(2))).otherwise(w))).alias("h"))
+    firsts = F.filter(F.transform("t", lambda w, i: F.when(first(w), i)), lambda i: i.isNotNull())
+    rows = rows.select(*keys, "h", F.zip_with("t", "h", lambda w, x: F.when(first(w), F.xxhash64(F.lit(NAME))).otherwise(x)).alias("g"), firsts.alias("firsts"))
+    window = lambda c, loose: lambda i: F.struct((i - 1).alias("p"), F.lit(loose).alias("loose"), F.xxhash64(F.slice(c, i, WINDOW)).alias("w"))
+    last = F.size("h") - WINDOW + 1
+    over = F.array_distinct(F.flatten(F.transform("firsts", lambda m: F.sequence(F.greatest(F.lit(1), m - WINDOW + 2), F.least(m + 1, last)))))
+    hashes = F.concat(F.transform(F.sequence(F.lit(1), last), window("h", False)), F.transform(over, window("g", True)))
+    return rows.select(*keys, F.explode(F.when(F.size("h") >= WINDOW, hashes)).alias("s")).select(*keys, "s.p", "s.loose", "s.w")
 
 
 def _matched(band: str) -> Column:
@@ -68,12 +81,12 @@ def _bands(found: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
     starts = found.withColumn("start", F.explode(F.transform(F.sequence(F.lit(0), drift), lambda k: F.col("at.offset") - k)))
     wide = starts.groupBy(*keys, "start").agg(F.array_sort(F.collect_list("at")).alias("band")).drop("start")
     both = found.select(*keys, F.array("at").alias("band")).unionByName(wide)
-    return both.withColumn("offsets", F.col("band.offset")).dropDuplicates(["rid", "item_id", "iid", "offsets"]).drop("offsets")
+    return both.withColumn("offsets", F.col("band.offset")).dropDuplicates([*keys, "offsets"]).drop("offsets")
 
 
 def _kinds(text: Column) -> Column:
-    """A letter for each template token: n for a name, s for another slot, x for the rest."""
-    kind = lambda w: F.when(w == NAME, "n").when(F.rlike(w, F.lit(f"[{NUMBER}{UNIT}{NAME}]")), "s").otherwise("x")
+    """A letter for each template token: n for a name, m for a word that begins a sentence, s for another slot, x for the rest."""
+    kind = lambda w: F.when(w == NAME, "n").when(F.startswith(w, F.lit(MARK)), "m").when(F.rlike(w, F.lit(f"[{NUMBER}{UNIT}{NAME}]")), "s").otherwise("x")
     return F.array_join(F.transform(template(text), kind), "")
 
 
@@ -89,12 +102,13 @@ def _place(i: Column) -> Column:
 
 def _pair(i: Column, p: Column) -> Column:
     """The value x of the item's slot i and y of the document's slot p; whole names where they differ in their number of words."""
-    run = lambda kinds: F.length(F.regexp_extract(kinds, "^n*", 0))
-    name = lambda kinds, at: F.substr(kinds, at + 1, F.lit(1)) == "n"
-    before = lambda kinds, at: F.when(name(kinds, at), run(F.reverse(F.substr(kinds, F.lit(1), at)))).otherwise(0)
-    after = lambda kinds, at: F.when(name(kinds, at), run(F.substr(kinds, at + 1))).otherwise(1)
-    whole = lambda tokens, kinds, at: F.array_join(F.slice(tokens, at + 1 - before(kinds, at), before(kinds, at) + after(kinds, at)), " ")
     its, own, mine, theirs = F.col("its"), F.col("own"), F.col("its_kinds"), F.col("own_kinds")
+    run = lambda kinds, pattern="^n*": F.length(F.regexp_extract(kinds, pattern, 0))
+    kind = lambda kinds, at: F.substr(kinds, at + 1, F.lit(1))
+    begins = lambda kinds, at: F.reverse(F.substr(kinds, F.lit(1), at))
+    before = lambda kinds, at: F.when(kind(kinds, at) == "n", F.when(kind(mine, i) == "m", run(begins(kinds, at), "^n*m?")).otherwise(run(begins(kinds, at)))).otherwise(0)
+    after = lambda kinds, at: F.when(kind(kinds, at) == "n", run(F.substr(kinds, at + 1))).when(kind(kinds, at) == "m", run(F.substr(kinds, at + 2)) + 1).otherwise(1)
+    whole = lambda tokens, kinds, at: F.array_join(F.slice(tokens, at + 1 - before(kinds, at), before(kinds, at) + after(kinds, at)), " ")
     same = before(mine, i) + after(mine, i) == before(theirs, p) + after(theirs, p)
     x = F.when(same, F.get(its, i)).otherwise(whole(its, mine, i))
     y = F.when(same, F.get(own, p - before(theirs, p) + before(mine, i))).otherwise(whole(own, theirs, p))
@@ -105,22 +119,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int
     """doc_id, rid, item_id, n_windows, n_matched and exact for each document and item that it holds.
 
     An item is held when in one band of alignments den * matched windows >= num * all windows of the item, and its slots agree.
+    Capitalised words that begin a text or a sentence are judged twice: as plain words, and as names, which are slots then
+    unless the item has them in lower case as well.
     exact says that the slots' values are the item's own. rid is a hash of doc_id and text. Items without a window, such as
     those of fewer than five words, and null texts are never held.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    literal = F.transform(template(F.col("text")), lambda w: F.when(F.rlike(w, F.lit(f"[{NUMBER}{UNIT}{NAME}]")), 0).otherwise(1))
-    marks = items.select("item_id", F.xxhash64("text").alias("iid"), literal.alias("lit"))
-    enough = F.aggregate(F.slice("lit", F.col("q") + 1, WINDOW), F.lit(0), lambda a, x: a + x) >= LITERALS
+    slot = lambda w, signs: F.when(F.rlike(w, F.lit(f"[{signs}]")), 0).otherwise(1)
+    literal = lambda signs: F.transform(template(F.col("text")), lambda w: slot(w, signs))
+    marks = items.select("item_id", F.xxhash64("text").alias("iid"), literal(NUMBER + UNIT + NAME).alias("lit"), literal(NUMBER + UNIT + NAME + MARK).alias("loose_lit"))
+    enough = F.aggregate(F.slice(F.when(F.col("loose"), F.col("loose_lit")).otherwise(F.col("lit")), F.col("q") + 1, WINDOW), F.lit(0), lambda a, x: a + x) >= LITERALS
     item_windows = _positions(items.withColumn("iid", F.xxhash64("text")), ["item_id", "iid"]).withColumnRenamed("p", "q")
-    item_windows = item_windows.join(marks, ["item_id", "iid"]).where(enough).select("w", "item_id", "iid", "q")
-    counts = item_windows.groupBy("item_id", "iid").agg(F.count("*").alias("n_windows"))
+    item_windows = item_windows.join(marks, ["item_id", "iid"]).where(enough).select("w", "item_id", "iid", "q", "loose")
+    counts = item_windows.where("not loose").groupBy("item_id", "iid").agg(F.count("*").alias("n_windows"))
     item_windows = item_windows.join(counts, ["item_id", "iid"])
     plain = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     plain = plain.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
-    found = joined(_positions(plain, ["doc_id", "rid"]), item_windows, ["w"], "inner")
-    keys = ["doc_id", "rid", "item_id", "iid", "n_windows"]
-    found = found.groupBy(*keys, (F.col("p") - F.col("q")).alias("offset")).agg(F.collect_set("q").alias("qs"))
+    found = joined(_positions(plain, ["doc_id", "rid"]).drop("loose"), item_windows, ["w"], "inner")
+    keys = ["doc_id", "rid", "item_id", "iid", "n_windows", "loose"]
+    found = found.groupBy(*keys[:-1], (F.col("p") - F.col("q")).alias("offset")).agg(F.collect_set(F.when(~F.col("loose"), F.col("q"))).alias("strict"), F.collect_set("q").alias("qs"))
+    both = F.array(F.struct(F.lit(False).alias("loose"), F.col("strict").alias("qs")), F.struct(F.lit(True).alias("loose"), F.col("qs")))
+    found = found.select(*keys[:-1], "offset", F.explode(both).alias("s")).select(*keys[:-1], "s.loose", "offset", "s.qs").where("size(qs) > 0")
     found = found.groupBy(*keys).agg(F.collect_list(F.struct("offset", "qs")).alias("band")).where(_matched("band") * den >= F.col("n_windows") * num)
     found = cut(found.select(*keys, F.explode("band").alias("at")))
     found = cut(_bands(found, keys, num, den).withColumn("n_matched", _matched("band")).where(F.col("n_matched") * den >= F.col("n_windows") * num))
@@ -128,7 +147,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int
     texts = joined(plain, found.select("rid").distinct(), ["rid"], "left_semi").dropDuplicates(["rid"]).select("rid", "text")
     item_texts = items.select("item_id", F.xxhash64("text").alias("iid"), _bare(F.col("text")).alias("its"), _kinds(F.col("text")).alias("its_kinds"))
     slots = found.join(texts.select("rid", _bare(F.col("text")).alias("own"), _kinds(F.col("text")).alias("own_kinds")), "rid").join(item_texts, ["item_id", "iid"])
-    number = F.filter(F.sequence(F.lit(0), F.size("its") - 1), lambda i: F.substr("its_kinds", i + 1, F.lit(1)) != "x")
+    kind = lambda i: F.substr("its_kinds", i + 1, F.lit(1))
+    slots = slots.withColumn("small", F.filter("its", lambda w, i: kind(i) == "x"))
+    number = F.filter(F.sequence(F.lit(0), F.size("its") - 1), lambda i: F.when(kind(i) == "m", F.col("loose") & ~F.array_contains("small", F.get("its", i))).otherwise(kind(i) != "x"))
     pairs = F.transform(F.transform(number, lambda i: F.struct(i.alias("i"), (i + _place(i)).alias("p"))), lambda s: _pair(s["i"], s["p"]))
     slots = slots.withColumn("pairs", F.array_distinct(F.filter(pairs, lambda s: s["y"].isNotNull())))
     slots = slots.withColumn("agree", F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda s: s["x"]))))

@@ -188,6 +188,25 @@ def test_decontamination_drift(spark):
     assert got == {(1, 1), (2, 1), (3, None), (4, 2), (5, None), (6, None)}
 
 
+def test_decontamination_sentence_starts(spark):
+    item = "Tom has 12 apples. Tom gives 5 to Mary. How many apples does Tom have?"
+    plain = "The old mill stands near the wide river and turns. The miller grinds corn from early morning until the late evening bell. The mill rests."
+    texts = {
+        1: "Ann has 31 apples. Ann gives 8 to Rose. How many apples does Ann have?",
+        2: f"{prose(3, 30)}. Mary Ann has 31 apples. Mary Ann gives 8 to Rose. How many apples does Mary Ann have?",
+        3: "Ann has 31 apples. Eve gives 8 to Rose. How many apples does Ann have?",
+        4: plain.replace("The mill rests", "A mill rests"),
+        5: plain.lower(),
+        6: item,
+        7: "Question: ann",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, plain)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination_report(docs, bench, 60, 100).collect()}
+    assert got == {(1, 1), (2, 1), (3, None), (4, 2), (5, 2), (6, 1), (7, None)}
+    assert rows_of(decontamination_report(docs, bench).where("contaminated"), "doc_id", "item_id") == [(1, 1), (4, 2), (5, 2), (6, 1)]
+
+
 def test_cap_filters(spark):
     draw = np.random.default_rng(2)
     base = draw.standard_normal((150, 64))
