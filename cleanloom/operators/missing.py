@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,8 +13,8 @@ from cleanloom.core import ROW_ID, data_columns, is_nested, is_number, is_text,
 from cleanloom.functions.stats import fences, finite, one_row, sample_skewness
 
 STRATEGIES = ("auto", "drop_rows", "drop_columns", "mean", "median", "mode", "constant", "ffill", "bfill", "interpolate", "knn", "iterative", "leave")
-#: Donor rows up to which neighbours are searched by broadcasting the donors.
-MOST_DONORS = 20_000
+#: Rows of a block of donors, and of rows that look for neighbours among them, on average.
+DONOR_BLOCK, RECEIVER_BLOCK = 10_000, 2_000
 
 
 def missing(c: str, kind: T.DataType) -> Column:
@@ -75,11 +76,43 @@ def interpolate(df: DataFrame, c: str, partition_by: list[str]) -> DataFrame:
     return replaced(named, {c: value}).drop("__place", "__known", "__p", "__n")
 
 
+def _nearest(k: int, n_features: int, at: int):
+    """The k nearest donors of each receiver within a pair of blocks, by distance, then by row id."""
+    row_id = ROW_ID
+
+    def search(receivers: pa.Table, donors: pa.Table) -> pa.Table:
+        points = lambda t: np.stack([t[f"f{i}"].to_numpy().astype(np.float64) for i in range(n_features)])
+        r_ids, d_ids = receivers[row_id].to_numpy(), donors[row_id].to_numpy()
+        order = np.argsort(d_ids)
+        r, d, d_ids = points(receivers), points(donors)[:, order], d_ids[order]
+        known = ~np.isnan(d)
+        out: list[list] = [[], [], [], []]
+        for j in range(len(r_ids)):
+            shared, squares = np.zeros(len(d_ids)), np.zeros(len(d_ids))
+            for i in np.flatnonzero(~np.isnan(r[:, j])):
+                with np.errstate(invalid="ignore", over="ignore"):
+                    squares += np.where(known[i], (r[i, j] - d[i]) ** 2, 0.0)
+                shared += known[i]
+            near = np.flatnonzero((shared > 0) & (d_ids != r_ids[j]))
+            distance = np.sqrt(squares[near] * n_features / shared[near])
+            if len(near) > k:
+                bound = np.partition(distance, k - 1)[k - 1]
+                if not np.isnan(bound):
+                    near, distance = near[distance <= bound], distance[distance <= bound]
+            first = np.argsort(distance, kind="stable")[:k]
+            for column, values in zip(out, (np.full(len(first), r_ids[j]), d_ids[near[first]], distance[first], d[at, near[first]]), strict=True):
+                column.append(values)
+        kinds = (np.int64, np.int64, np.float64, np.float64)
+        return pa.table({c: np.concatenate([np.empty(0, t), *v]).astype(t) for c, t, v in zip((row_id, "d_id", "distance", "value"), kinds, out, strict=True)})
+
+    return search
+
+
 def knn_impute(df: DataFrame, targets: list[str], neighbors: int) -> DataFrame:
     """Each missing cell becomes the mean of the k nearest rows that have the feature, by distance over shared features.
 
-    Only rows with a missing target look for neighbours. Donors are broadcast once their number is checked; above
-    MOST_DONORS a hash-chosen, documented sample of them is used. A cell without any donor takes the column's mean.
+    Only rows with a missing target look for neighbours, among all donors: blocks of both meet pair by pair, and the k
+    nearest of each block contend for the k nearest of all. A cell without any donor takes the column's mean.
     """
     kinds = {f.name: f.dataType for f in df.schema}
     features = [c for c in data_columns(df) if is_number(kinds[c])]
@@ -87,20 +120,20 @@ def knn_impute(df: DataFrame, targets: list[str], neighbors: int) -> DataFrame:
     points = df.select(ROW_ID, *(value(c).alias(f"f{i}") for i, c in enumerate(features)))
     means = one_row(df, {(c,): F.avg(value(c)) for c in targets} | {("rows",): F.count("*")})
     donors = points.where(F.coalesce(*(F.col(f"f{i}") for i in range(len(features)))).isNotNull())
-    if means["rows",] > MOST_DONORS:
-        donors = donors.orderBy(F.xxhash64(ROW_ID), ROW_ID).limit(MOST_DONORS)
-    donors = F.broadcast(donors.select(F.col(ROW_ID).alias("d_id"), *(F.col(f"f{i}").alias(f"d{i}") for i in range(len(features)))))
     k = min(neighbors, max(1, means["rows",] - 1))
     out = df
     for t in targets:
         at = features.index(t)
-        receivers = points.where(F.col(f"f{at}").isNull())
-        pairs = receivers.join(donors, F.col(f"d{at}").isNotNull() & (F.col(ROW_ID) != F.col("d_id")))
-        shared = sum(((F.col(f"f{i}").isNotNull() & F.col(f"d{i}").isNotNull()).cast("int") for i in range(len(features))), F.lit(0))
-        squares = sum((F.coalesce((F.col(f"f{i}") - F.col(f"d{i}")) * (F.col(f"f{i}") - F.col(f"d{i}")), F.lit(0.0)) for i in range(len(features))), F.lit(0.0))
-        pairs = pairs.where(shared > 0).withColumn("distance", F.sqrt(squares * len(features) / shared))
+        receivers, givers = points.where(F.col(f"f{at}").isNull()), donors.where(F.col(f"f{at}").isNotNull())
+        n = one_row(points, {("receivers",): F.count_if(F.col(f"f{at}").isNull()), ("donors",): F.count(f"f{at}")})
+        n_r, n_d = -(-n["receivers",] // RECEIVER_BLOCK) or 1, -(-n["donors",] // DONOR_BLOCK) or 1
+        block = lambda m: F.pmod(F.xxhash64(ROW_ID), F.lit(m))
+        every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+        receivers = receivers.withColumn("rb", block(n_r)).withColumn("db", every(n_d))
+        givers = givers.withColumn("db", block(n_d)).withColumn("rb", every(n_r))
+        pairs = receivers.groupBy("rb", "db").cogroup(givers.groupBy("rb", "db")).applyInArrow(_nearest(k, len(features), at), f"{ROW_ID} long, d_id long, distance double, value double")
         nearest = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(ROW_ID).orderBy("distance", "d_id"))).where(F.col("rank") <= k)
-        found = nearest.groupBy(ROW_ID).agg(F.avg(f"d{at}").alias("__value"))
+        found = nearest.groupBy(ROW_ID).agg(F.avg("value").alias("__value"))
         out = out.join(found, ROW_ID, "left")
         out = replaced(out, {t: F.coalesce(value(t), F.col("__value"), F.lit(means[t,]))}).drop("__value")
     return out
