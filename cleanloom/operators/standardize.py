@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cleanloom.core import data_columns, is_number, is_text, quoted, replaced, resolve_columns, step
+from cleanloom.core import ROW_ID, data_columns, is_number, is_text, quoted, replaced, resolve_columns, step, with_row_id
 from cleanloom.functions import text as X
 from cleanloom.functions.stats import one_row
 
@@ -87,21 +87,23 @@ def standardize_types(
     datetime_format: str | None = None,
     dayfirst: bool = False,
     min_match_ratio: float = 0.90,
-    inference_sample_size: int | None = 10_000,
+    inference_sample_size: int | None = None,
     category_threshold: float | None = 0.05,
     downcast: bool = False,
     preserve_leading_zeros: bool = True,
     percent_to_fraction: bool = False,
+    seed: int = 42,
 ) -> tuple[DataFrame, dict]:
-    """Text columns take the first of boolean, numeric and datetime that enough of a sample's values parse as.
+    """Text columns take the first of boolean, numeric and datetime that enough of their values parse as.
 
-    One job probes all columns on a sample, one counts cells that do not parse; the conversion is a projection. Other
-    text of few distinct values is marked as a category in the column's metadata. inference_sample_size None probes all rows.
+    One job probes all columns, one counts cells that do not parse; the conversion is a projection. Other
+    text of few distinct values is marked as a category in the column's metadata. All rows are probed; an
+    inference_sample_size limits that to so many rows, drawn by a seeded hash.
     """
     kinds = {f.name: f.dataType for f in df.schema}
     named = resolve_columns(df, columns)
     texts = [c for c in named if is_text(kinds[c])]
-    sample = df if inference_sample_size is None else df.limit(inference_sample_size)
+    sample = df if inference_sample_size is None else with_row_id(df).orderBy(F.xxhash64(ROW_ID, F.lit(seed)), ROW_ID).limit(inference_sample_size)
     probes = {}
     for c in texts:
         v = F.when(X.strip(quoted(c)) != "", quoted(c))
