@@ -3,8 +3,8 @@
 Targets: each source's weighted share of the wanted total, capped at a multiple of its size, the excess shared again among
 the others until none is above its cap (solved in closed form over the sources in the order of cap over weight).
 Draws: a source's documents fall into about sqrt(n) / 16 blocks by hash. Whole passes take every block; the rest of the target
-takes blocks in a permuted order, and documents of the last of these in permuted order as they fit. So no step orders
-more than about 16 sqrt(n) rows of one source together.
+takes blocks in a permuted order; what these leave open goes on to the later blocks, round by round without the documents
+that are larger than it, until no document fits. So no step orders more than about 16 sqrt(n) rows of one source together.
 Shards: the block draws of all sources are split over the output shards by a binary tree. A node draws how many blocks of
 each source go left from the multivariate hypergeometric distribution, so that shards are of equal size and each is a
 fair draw of the mix; each source then deals its permuted blocks to the shards by these counts, without overlap.
@@ -18,9 +18,6 @@ from pyspark.sql.window import Window
 
 from cleanloom.llm._common import cut, joined, word_count
 
-#: Rounds that fill what the documents of a source's last block leave open.
-FILLS = 5
-
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """source, rank, source_size, n_docs and target for each source of sizes (source, size).
@@ -79,12 +76,38 @@ def split_over_shards(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     return leaves.select("shard", "q.rank", "q.n").where("n > 0")
 
 
+def _fill(held: DataFrame, blocks: DataFrame, seed: int) -> DataFrame:
+    """rank, block and row of the documents that fill what the whole blocks leave open of each source's rest.
+
+    A round takes blocks in permuted order, and documents of the one that crosses in permuted order, from those that are no larger
+    than the room. The next goes on with the room left; each takes a document of every source that has one that fits.
+    """
+    room = F.first("rest") - F.coalesce(F.sum(F.when(F.col("whole"), F.col("words"))), F.lit(0))
+    rooms = blocks.groupBy("rank").agg(room.alias("room"))
+    left = joined(held.select("rank", "block", "row", "size", "key"), blocks.where("not whole").select("rank", "block").join(rooms, "rank"), ["rank", "block"], "inner")
+    left = cut(left.where("size > 0 and size <= room"))
+    taken = left.where("false").select("rank", "block", "row")
+    by_block = Window.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed + 2), "rank", "block"), "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_key = Window.partitionBy("rank", "block").orderBy("key", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    while not left.isEmpty():
+        sums = left.groupBy("rank", "block").agg(F.sum("size").alias("words"))
+        sums = sums.withColumn("before", F.sum("words").over(by_block) - F.col("words"))
+        tried = joined(left, sums.select("rank", "block", "before"), ["rank", "block"], "inner")
+        # later blocks begin beyond the room of the one that crosses, so that none of their documents fits
+        tried = cut(tried.withColumn("taken", F.col("before") + F.sum("size").over(by_key) <= F.col("room")).drop("before"))
+        taken = taken.unionByName(tried.where("taken").select("rank", "block", "row"))
+        spent = tried.where("taken").groupBy("rank").agg(F.sum("size").alias("spent"))
+        left = joined(tried.where("not taken").drop("taken"), spent, ["rank"], "inner").withColumn("room", F.col("room") - F.col("spent")).drop("spent")
+        left = cut(left.where("size <= room"))
+    return taken
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, levels: int = 4, seed: int = 20) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken and shards for every row of docs (doc_id, text, source).
 
     size counts the text's words, 0 for null. taken is copies * size; copies are at most ceil(most). shards lists the output
     shards of the copies. A source's taken words stay at or below its target and differ from it by less than its smallest document
-    that was left out, as a rule. Rows that repeat are drawn one by one; a null source is a source of its own. Sources
+    that was left out. Rows that repeat are drawn one by one; a null source is a source of its own. Sources
     without words have target 0. An empty table gives an empty result. The result depends on the rows and the seed only.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
@@ -100,19 +123,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     blocks = held.groupBy("rank", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("passes").alias("passes"))
     order = Window.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed + 2), "rank", "block"), "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     blocks = blocks.withColumn("upto", F.sum("words").over(order))
-    blocks = cut(blocks.withColumn("whole", F.col("upto") <= F.col("rest")).withColumn("room", F.when((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")), F.col("rest") - F.col("upto") + F.col("words"))))
-    # documents of the one block of each source that fits in part
-    last = joined(held.select("rank", "block", "row", "size", "key"), blocks.where("room is not null").select("rank", "block", "room"), ["rank", "block"], "inner")
-    last = last.withColumn("taken", F.lit(False))
-    own = Window.partitionBy("rank")
-    for _ in range(FILLS):
-        left = F.col("room") - F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0)).over(own)
-        last = last.withColumn("left", left)
-        open_size = F.when(~F.col("taken") & (F.col("size") <= F.col("left")), F.col("size"))
-        upto = F.sum(open_size).over(own.orderBy("key", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        last = last.withColumn("taken", F.col("taken") | (open_size.isNotNull() & (upto <= F.col("left"))))
-    extra = last.where("taken").select("row", F.lit(1).cast("long").alias("extra"))
-    turns = F.col("passes") + F.when(F.col("whole") | F.col("room").isNotNull(), 1).otherwise(0)
+    blocks = cut(blocks.withColumn("whole", F.col("upto") <= F.col("rest")))
+    extra = cut(_fill(held, blocks, seed))
+    part = extra.groupBy("rank", "block").agg(F.lit(True).alias("part"))
+    blocks = cut(blocks.join(part, ["rank", "block"], "left"))
+    extra = extra.select("row", F.lit(1).cast("long").alias("extra"))
+    turns = F.col("passes") + F.when(F.col("whole") | F.col("part").isNotNull(), 1).otherwise(0)
     draws = blocks.where(turns > 0).select("rank", "block", F.explode(F.sequence(F.lit(1).cast("long"), turns)).alias("turn"))
     dealt = split_over_shards(draws.groupBy("rank").agg(F.count("*").alias("quota")), levels, seed)
     upto = F.sum("n").over(Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -259,3 +259,12 @@ def test_mix(spark):
     for s, (_, taken, t) in by.items():
         assert t == pytest.approx(target[s]) and taken <= t + 1e-6 and taken >= t - 6
     assert mix(docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 20])
+def test_mix_goes_past_a_long_document(spark, seed):
+    docs = spark.range(601).selectExpr("id AS doc_id", "repeat('w ', if(id = 600, 40000, 300)) AS text", "'s' AS source")
+    rows = mix(docs, weights=(1,), share=0.5, most=2.0, seed=seed).collect()
+    room = rows[0].target - sum(r.taken for r in rows)
+    assert 0 <= room < min(r.size for r in rows if not r.copies)
+    assert all(len(r.shards) == r.copies for r in rows)
