@@ -16,6 +16,9 @@ WORD = rf"[^{BLANKS}]+"
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: Bytes of a batch of rows for a Python worker.
+BATCH_BYTES = 4 << 20
+
 _names = itertools.count()
 
 
@@ -52,6 +55,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound by bytes what Spark hands to a Python worker at once, for the session; rows may hold very long texts.
+
+    It changes memory only, never a result, and stays set as tables are computed after their operator has returned.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def scratch(spark: SparkSession, kind: str) -> str:
     """A path of its own in the shared folder."""
     app = spark.sparkContext.applicationId

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -15,7 +18,7 @@ _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 #: Words beyond this many bytes are hashed one by one.
 _LONG = 64
 #: Texts are hashed together up to so many bytes; a longer text is a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,6 +40,32 @@ def chunks(texts: list[bytes]):
         yield first, texts[first:]
 
 
+def slices(column: pa.Array):
+    """(first index, texts) of runs of an Arrow column that hold about CHUNK bytes; only one run at a time is unpacked. Null is empty."""
+    column = column.cast(pa.binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(column):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + CHUNK, "right")))
+        yield first, [t or b"" for t in column.slice(first, last - first).to_pylist()]
+        first = last
+
+
+def packed(values: np.ndarray, delta: bool = False) -> bytes:
+    """Unsigned integers, or the steps between sorted ones, byte plane by byte plane and compressed."""
+    values = values.astype("<u8")
+    if delta:
+        values = np.diff(values, prepend=np.uint64(0))
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpacked(data: bytes, delta: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    values = np.ascontiguousarray(planes.T).view("<u8").ravel()
+    return np.cumsum(values, dtype=np.uint64) if delta else values
+
+
 def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words (A-Z in lower case), in order, and the bounds of each text's words among them."""
     buffer = b"\n".join(texts) + b"\n" + bytes(8)

@@ -19,24 +19,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.llm import _hashing
-from cleanloom.llm._common import cut, input_bytes, joined, removed, shipped, written
+from cleanloom.llm._common import bounded_batches, cut, input_bytes, joined, removed, shipped, written
 from cleanloom.llm._components import connected_components
-from cleanloom.llm._hashing import mix, shingle_sets
+from cleanloom.llm._hashing import mix, packed, shingle_sets, slices, unpacked
 
 shipped(__name__)
 shipped(_hashing.__name__)
 
-#: Least and most cells of the count sketch, whose levels (a byte each) are broadcast; cells in a row of its table.
-CELLS, STRIPE = (1 << 18, 1 << 24), 1 << 16
+#: Least and most cells of the count sketch, and most cells in a stripe, which one task adds up at a time.
+CELLS, STRIPE = (1 << 18, 1 << 30), 1 << 20
+#: Shingles that a worker gathers before it hands on their counts.
+GATHERED = 1 << 19
+#: Cells of frequent shingles that are broadcast at most; if there are more, the least frequent of them count as rare.
+FREQUENT = 1 << 21
 #: Centres of an entry that its members are verified against first.
 CENTRES = 4
-#: Entries of more members are not paired row by row: their members meet in blocks of BLOCK documents.
-COLD, BLOCK = 32, 512
+#: Entries of more members are not paired row by row: their members meet in blocks of BLOCK documents, fewer if these are long.
+COLD, BLOCK, BLOCK_SHINGLES = 32, 512, 1 << 18
 
 
 def _pattern(k: int) -> int:
@@ -44,78 +47,118 @@ def _pattern(k: int) -> int:
     return (k * 0x9E3779B97F4A7C15 >> 1) & (1 << 63) - 1
 
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
 def sketch_cells(input_bytes: int) -> int:
     """A power of two near a thirty-second of the input's bytes, so that a cell's chance load stays small, within CELLS."""
     return min(max(1 << max(0, (input_bytes // 32).bit_length()), CELLS[0]), CELLS[1])
 
 
 def _members(width: int, cells: int):
-    """One row for each text, and at the end the counts of all shingles seen, in stripes of sketch cells."""
+    """One row for each text, and between them the counts of the shingles seen since, by stripes of sketch cells."""
+    stripe = min(STRIPE, cells // 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, waiting, size = np.zeros(cells, np.uint32), [], 0
+        waiting, size = [], 0
         for batch in batches:
-            first = 0
-            for _, part in _hashing.chunks(_texts(batch.column(1))):
+            for first, part in slices(batch.column(1)):
                 sets = shingle_sets(part, width)
-                waiting += [(s & np.uint64(cells - 1)).astype(np.int32) for s in sets]
+                waiting += [(s & np.uint64(cells - 1)).astype(np.uint32) for s in sets]
                 size += sum(map(len, sets))
-                if size > 1 << 20:
-                    _count(total, waiting)
-                    waiting, size = [], 0
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield _row(batch.column(0)[first : first + len(part)], [len(s) for s in sets], digest, [None] * len(part), [None] * len(part))
-                first += len(part)
+                yield _row(batch.column(0)[first : first + len(part)], [len(s) for s in sets], digest, None, None, None)
+                if size > GATHERED:
+                    yield _counted(waiting, stripe)
+                    waiting, size = [], 0
         if size:
-            _count(total, waiting)
-        for k, stripe in enumerate(total.reshape(-1, STRIPE)):
-            if stripe.any():
-                yield _row(pa.array([None], pa.int64()), [None], [None], [k], [_packed(stripe)])
+            yield _counted(waiting, stripe)
 
     return run
 
 
-def _count(total: np.ndarray, cells: list[np.ndarray]) -> None:
-    """Add one to total for each cell named; equal cells are summed first, so that no second table is made."""
+def _counted(cells: list[np.ndarray], stripe: int) -> pa.RecordBatch:
+    """A row for each stripe that has some of the cells named: its cells and how often each was named."""
     at, n = np.unique(np.concatenate(cells), return_counts=True)
-    total[at] += n.astype(np.uint32)
+    number, first = np.unique(at // np.uint32(stripe), return_index=True)
+    parts = [slice(a, b) for a, b in zip(first, [*first[1:], len(at)], strict=True)]
+    return _row(None, None, None, number, [packed(at[p] % np.uint32(stripe), True) for p in parts], [packed(n[p]) for p in parts])
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    return zstandard.compress(counts.astype("<u4").tobytes(), 1)
+def _row(doc_id, size, digest, stripe, cells, counts) -> pa.RecordBatch:
+    rows = len(doc_id) if doc_id is not None else len(stripe)
+    kinds = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "digest": pa.binary(), "stripe": pa.int32(), "cells": pa.binary(), "counts": pa.binary()}
+    given = zip(kinds.items(), (doc_id, size, digest, stripe, cells, counts), strict=True)
+    return pa.record_batch({c: pa.nulls(rows, t) if v is None else pa.array(v, t) for (c, t), v in given})
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), "<u4")
+def _add(stripe: int, rare: float):
+    """The frequent cells of each stripe by level; rows of a stripe follow one another, so that one stripe is held at a time."""
 
+    def levels(k: int, total: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(total > rare)
+        level = 1 + np.log2(total[at] / rare).astype(np.int32)
+        found = {x: at[level == x] + k * stripe for x in np.unique(level)}
+        return pa.record_batch({"level": pa.array(list(found), pa.int32()), "n": pa.array([len(v) for v in found.values()], pa.int64()), "cells": pa.array([packed(v, True) for v in found.values()], pa.binary())})
 
-def _row(doc_id, size, digest, stripe, cells) -> pa.RecordBatch:
-    return pa.record_batch({"doc_id": doc_id, "n_shingles": pa.array(size, pa.int64()), "digest": pa.array(digest, pa.binary()), "stripe": pa.array(stripe, pa.int32()), "cells": pa.array(cells, pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(stripe, np.int64)
+        for batch in batches:
+            for k, cells, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != now:
+                    if now is not None:
+                        yield levels(now, total)
+                    now, total[:] = k, 0
+                total[unpacked(cells, True).astype(np.int64)] += unpacked(counts).astype(np.int64)
+        if now is not None:
+            yield levels(now, total)
 
+    return run
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            total[k] = total.get(k, 0) + _unpacked(cells).astype(np.int64)
-    if total:
-        yield pa.record_batch({"stripe": pa.array(list(total), pa.int32()), "cells": pa.array([_packed(np.minimum(v, 0xFFFFFFFF)) for v in total.values()], pa.binary())})
 
+class Frequency:
+    """The level of each shingle: 0 if rare, else one more for each doubling of its cell's count."""
 
-def frequency_levels(stripes: DataFrame, cells: int) -> np.ndarray:
-    """A level for each sketch cell from the counts of all shingles of all texts: 0 rare, then one more for each doubling."""
-    rows = stripes.repartition(8, "stripe").mapInArrow(_add, "stripe int, cells binary").collect()  # `cells` counts at most
-    levels = np.zeros(cells, np.uint8)
-    mean = sum(int(_unpacked(r.cells).sum(dtype=np.int64)) for r in rows) / cells
-    rare = mean + 3 * np.sqrt(mean) + 3
-    for r in rows:
-        count = _unpacked(r.cells)
-        levels[r.stripe * STRIPE : (r.stripe + 1) * STRIPE] = np.where(count <= rare, 0, 1 + np.log2(np.maximum(count / rare, 1)))
-    return levels
+    def __init__(self, cells: int, found: dict[int, np.ndarray]):
+        self.cells = cells
+        at = np.concatenate([np.zeros(0, np.uint32), *(v.astype(np.uint32) for v in found.values())])
+        level = np.concatenate([np.zeros(0, np.uint8), *(np.full(len(v), k, np.uint8) for k, v in found.items())])
+        order = np.argsort(at)
+        self.at, self.level = at[order], level[order]
+
+    def __call__(self, shingles: np.ndarray) -> np.ndarray:
+        cell = (shingles & np.uint64(self.cells - 1)).astype(np.uint32)
+        out = np.zeros(len(cell), np.uint8)
+        if len(self.at):
+            some = np.flatnonzero(self.maybe[cell & np.uint32(len(self.maybe) - 1)])
+            place = np.minimum(np.searchsorted(self.at, cell[some]), len(self.at) - 1)
+            out[some] = np.where(self.at[place] == cell[some], self.level[place], 0)
+        return out
+
+    def ready(self) -> Frequency:
+        """With a table that rules most cells out; a worker makes it for itself."""
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[self.at & np.uint32((1 << 22) - 1)] = True
+        return self
+
+
+def frequencies(counts: DataFrame, cells: int, shingles: int) -> Frequency:
+    """The levels from the counts (stripe, cells, counts) of all shingles of all texts.
+
+    At most FREQUENT cells go to the driver: how many each level has is known before any is fetched.
+    """
+    stripe, mean = min(STRIPE, cells // 16), shingles / cells
+    rare = mean + 3 * math.sqrt(mean) + 3
+    tasks = max(16, min(cells // stripe, 8 * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    summed = counts.repartition(tasks, "stripe").sortWithinPartitions("stripe").mapInArrow(_add(stripe, rare), "level int, n long, cells binary")
+    summed = cut(summed)
+    least, total = 1, 0
+    for r in summed.groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.col("level").desc()).collect():  # some forty rows
+        total += r.n
+        if total > FREQUENT:
+            least = r.level + 1
+            break
+    found: dict[int, list] = {}
+    for r in summed.where(F.col("level") >= least).select("level", "cells").toLocalIterator():
+        found.setdefault(r.level, []).append(unpacked(bytes(r.cells), True))
+    return Frequency(cells, {k: np.concatenate(v) for k, v in found.items()})
 
 
 def _classes(n: int, num: int, den: int) -> int:
@@ -151,15 +194,15 @@ def signatures(values: np.ndarray, level: np.ndarray, num: int, den: int) -> np.
     return np.unique(np.concatenate(out))
 
 
-def _index(width: int, num: int, den: int, levels: np.ndarray):
+def _index(width: int, num: int, den: int, frequency: Frequency):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = frequency.ready()
         for batch in batches:
-            first = 0
-            for _, part in _hashing.chunks(_texts(batch.column(1))):
+            for first, part in slices(batch.column(1)):
                 sets = shingle_sets(part, width)
                 ids = batch.column(0)[first : first + len(part)].to_numpy(zero_copy_only=False)
-                first += len(part)
-                found = [signatures(s, levels[(s & np.uint64(len(levels) - 1)).astype(np.int64)], num, den) for s in sets]
+                level = np.split(levels(np.concatenate(sets)), np.cumsum([len(s) for s in sets])[:-1])
+                found = [signatures(s, x, num, den) for s, x in zip(sets, level, strict=True)]
                 size = [len(x) for x in found]
                 yield pa.record_batch({"sig": pa.array(np.concatenate(found).view(np.int64)), "node": pa.array(np.repeat(ids, size)), "n": pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), size))})
 
@@ -169,11 +212,9 @@ def _index(width: int, num: int, den: int, levels: np.ndarray):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = 0
-            for _, part in _hashing.chunks(_texts(batch.column(1))):
+            for first, part in slices(batch.column(1)):
                 sets = [s.tobytes() for s in shingle_sets(part, width)]
                 yield pa.record_batch({"node": batch.column(0)[first : first + len(part)], "members": pa.array(sets, pa.binary())})
-                first += len(part)
 
     return run
 
@@ -183,12 +224,10 @@ def _parts(width: int, sixteenths: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = 0
-            for _, part in _hashing.chunks(_texts(batch.column(1))):
+            for first, part in slices(batch.column(1)):
                 sets = shingle_sets(part, width)
                 some = [s[(s >> np.uint64(56)) % np.uint64(16) < sixteenths].astype("<u2").tobytes() for s in sets]
                 yield pa.record_batch({"node": batch.column(0)[first : first + len(part)], "n": pa.array([len(s) for s in sets], pa.int32()), "part": pa.array(some, pa.binary())})
-                first += len(part)
 
     return run
 
@@ -290,11 +329,12 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _block_links(hot: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links among the members (node, comp) of each group (lead), without a row for each pair.
+    """Links among the members (node, n, comp) of each group (lead), without a row for each pair.
 
-    A group is dealt into blocks of about BLOCK documents; each pair of blocks is a piece of work of bounded size.
+    A group is dealt into blocks of about BLOCK documents, or BLOCK_SHINGLES shingles if that is less; each pair of
+    blocks is a piece of work of bounded size.
     """
-    sizes = hot.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = hot.groupBy("lead").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = hot.join(sizes, "lead").withColumn("own", own)
     dealt = dealt.select("lead", "own", "node", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -337,10 +377,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
         raise ValueError("the similarity is a fraction num / den in (0, 1]")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
+    bounded_batches(spark)
     cells = sketch_cells(input_bytes(docs))
-    first = cut(docs.mapInArrow(_members(width, cells), "doc_id long, n_shingles long, digest binary, stripe int, cells binary"))
+    first = cut(docs.mapInArrow(_members(width, cells), "doc_id long, n_shingles long, digest binary, stripe int, cells binary, counts binary"))
     members = first.where("n_shingles is not null").select("doc_id", "n_shingles", "digest")
-    levels = frequency_levels(first.where("stripe is not null").select("stripe", "cells"), cells)
+    shingles = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    levels = frequencies(first.where("stripe is not null").select("stripe", "cells", "counts"), cells, shingles)
     named = members.where("doc_id is not null and digest is not null")
     copies = cut(named.groupBy("digest").agg(F.min("doc_id").alias("node")))
     several = named.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("doc_id")
@@ -352,7 +394,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     removed(spark, path)
     index = cut(_mixed(index))
     sixteenths = min(16, math.ceil(36 * (den - num) / (den + num)))
-    parts, _ = written(texts.mapInArrow(_parts(width, sixteenths), "node long, n int, part binary"), "jaccard-parts")
+    parts, parts_path = written(texts.mapInArrow(_parts(width, sixteenths), "node long, n int, part binary"), "jaccard-parts")
     same_id = named.join(several, "doc_id", "left_semi").join(copies, "digest")
     links = cut(same_id.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     patterns = [F.lit(_pattern(k)) for k in range(CENTRES)]
@@ -368,9 +410,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     rest = x.join(y, F.expr(f"x.sig = y.sig and x.comp < y.comp and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}"))
     rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     rest = cut(rest.join(tested, ["a", "b"], "left_anti"))
-    hot = index.join(counts.where(F.col("size") > COLD), "sig").select("lead", "node", "comp").distinct()
+    hot = index.join(counts.where(F.col("size") > COLD), "sig").select("lead", "node", "n", "comp").distinct()
     links = links.union(_links(rest, docs, parts, width, num, den)).union(_block_links(cut(hot), docs, width, num, den))
     labels = connected_components(links)
+    removed(spark, parts_path)
     out = members.join(copies, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node"))
     labels = labels.select(F.col("id").alias("node"), "component")
     return out.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
