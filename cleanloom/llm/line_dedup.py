@@ -1,27 +1,74 @@
-"""Line dedup over suffixes of line-ID sequences, by prefix doubling, in DataFrame operations only.
+"""Line dedup by a suffix array over line-ID sequences, in DataFrame operations only.
 
 Each document is the sequence of its lines' IDs (two 64-bit hashes of the line; blank lines are skipped). Prefix doubling
-names the runs of 1, 2, 4, ... lines that start at each suffix from the names of their halves; names are hashes, so every
-document is named where it lies and no global order of ranks is needed. From the names of two overlapping powers of two
-a run of any length has a name.
-
-Suffixes that share a run of at least `min_words` words form a longest-common-prefix interval; at that depth the interval
-is the group of equal names. It is enough to look at the shortest such run that starts at each suffix and the shortest that ends
-at each line: a maximal repeated run is the union of the ones inside it. Every run of a group but its first occurrence,
-by doc_id and line, is deleted.
+ranks the suffixes of all documents together: by their first line, then by their first 2, 4, ... lines, each time from the
+order of the pairs (rank here, rank so many lines on). The ranks are the suffix array turned round: they grow with the order
+of the suffixes, and suffixes of equal rank are an interval whose longest common prefix is at least that many lines. A run
+that occurs once has no rank, and neither has any longer one that begins with it, so each round goes on with the rest only.
+
+Doubling stops at the power of two below `min_words`, as a run of that many words has no more lines. The interval at
+any depth up to twice that is the group of equal pairs (rank of the run's first lines, rank of its last ones). It is enough to
+look at the shortest run of `min_words` words that starts at each suffix and the shortest that ends at each line: a maximal
+repeated run is the union of the ones inside it. Every run of an interval but its first occurrence, by doc_id and line, is
+deleted.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from cleanloom.llm._common import WORD, cut, joined
+from cleanloom.llm._common import WORD, cut, joined, removed, written
 
+#: A document by its id and a hash of its id and text; a stretch of it without lines that occur once.
+DOC = ["doc_id", "rid"]
+STRETCH = [*DOC, "stretch"]
 
-def _doubled(ids: Column, step: int) -> Column:
-    """Names of runs of 2 * step lines; past the end a name is of no use and never read."""
-    return F.zip_with(ids, F.slice(ids, step + 1, F.greatest(F.size(ids), F.lit(1))), lambda x, y: F.struct(F.xxhash64(x["a"], y["a"]).alias("a"), F.xxhash64(F.lit(7), x["b"], y["b"]).alias("b"), (x["w"] + F.coalesce(y["w"], F.lit(0))).alias("w")))
+
+def line_ids(docs: DataFrame) -> DataFrame:
+    """doc_id, rid, i, at, w, a and b for each line that has words: its number among such lines, its number among all, its words, and its ID."""
+    item = lambda x, at: F.struct(at.alias("at"), F.regexp_count(x, F.lit(WORD)).alias("w"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(3), x).alias("b"))
+    full = F.filter(F.transform(F.split("text", "\n"), item), lambda x: x["w"] > 0)
+    rows = docs.where("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.posexplode(full).alias("i", "l"))
+    return rows.select("doc_id", "rid", "i", "l.*")
+
+
+def ranks(keys: DataFrame, on: list[str], name: str) -> DataFrame:
+    """The keys that occur more than once, with a number that grows with their order; kept, as the numbers depend on the partitions."""
+    several = keys.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return cut(several.orderBy(*on).withColumn(name, F.monotonically_increasing_id()))
+
+
+def _with_rank(rows: DataFrame, on: list[str], name: str) -> DataFrame:
+    """rows with the rank of their key; null where a key is null or occurs once. Null keys meet no join."""
+    known = " and ".join(f"{c} is not null" for c in on)
+    found = ranks(rows.where(known).select(*on), on, name)
+    none = rows.where(f"not ({known})").withColumn(name, F.lit(None).cast("long"))
+    return joined(rows.where(known), found, on, "left").unionByName(none)
+
+
+def suffix_ranks(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, rid, stretch, i, at, w, upto and r for each line of a stretch of repeated lines that has min_words words or more.
+
+    r holds the ranks of the suffix by its first 1, 2, 4, ... lines; upto are the stretch's words up to the line.
+    """
+    lines, path = written(line_ids(docs), "line-ids")
+    rows = joined(lines, ranks(lines, ["a", "b"], "r0"), ["a", "b"], "inner").drop("a", "b")
+    of_doc, of_stretch = Window.partitionBy(*DOC).orderBy("i"), Window.partitionBy(*STRETCH).orderBy("i")
+    rows = rows.withColumn("before", F.lag("i").over(of_doc)).where("before is null or before < i").drop("before")  # rows that repeat
+    rows = rows.withColumn("stretch", F.col("i") - F.row_number().over(of_doc))
+    rows = rows.withColumn("words", F.sum("w").over(Window.partitionBy(*STRETCH))).where(F.col("words") >= min_words).drop("words")
+    rows = cut(rows.withColumn("upto", F.sum("w").over(of_stretch.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    removed(docs.sparkSession, path)
+    names = ["r0"]
+    for k in range(min_words.bit_length() - 1):
+        doubled = _with_rank(rows.withColumn("next", F.lead(names[-1], 1 << k).over(of_stretch)), [names[-1], "next"], f"r{k + 1}")
+        rows = cut(doubled.drop("next"))
+        names.append(f"r{k + 1}")
+        if rows.where(F.col(names[-1]).isNotNull()).isEmpty():
+            break
+    return rows.select(*STRETCH, "i", "at", "w", "upto", F.array(*names).alias("r"))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -31,60 +78,48 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """
     if min_words < 1:
         raise ValueError("min_words must be 1 or more")
-    levels = max(1, (min_words - 1).bit_length())
-    lines = F.split(F.col("text"), "\n")
-    item = lambda x, i: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(3), x).alias("b"), F.regexp_count(x, F.lit(WORD)).alias("w"), i.alias("i"))
-    rows = docs.where("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.filter(F.transform(lines, item), lambda x: x["w"] > 0).alias("l0"))
-    for k in range(levels):
-        rows = rows.withColumn(f"l{k + 1}", _doubled(F.col(f"l{k}"), 1 << k))
-    names = F.array(*(F.transform(f"l{k}", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["w"].alias("w"))) for k in range(levels + 1)))
-    rows = rows.select("doc_id", "rid", F.transform("l0", lambda x: x["i"]).alias("at"), names.alias("names"), F.size("l0").alias("n"))
-    downwards = F.array(*(F.lit(k) for k in range(levels, -1, -1)))
-    power = lambda k: F.element_at(F.array(*(F.lit(1 << j) for j in range(levels + 1))), k + 1)
-    name = lambda k, i: F.get(F.get("names", k), i)
-
-    def longest_below(start: Column, back: bool) -> Column:
-        """How many lines from start on (or back from it) still hold fewer than min_words words."""
-        zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("w"))
-
-        def step(s, k):
-            first = start - s["n"] - power(k) + 1 if back else start + s["n"]
-            inside = (first >= 0) if back else (first + power(k) <= F.col("n"))
-            w = F.when(inside, name(k, first)["w"])
-            fits = inside & (s["w"] + w < min_words)
-            return F.when(fits, F.struct((s["n"] + power(k)).alias("n"), (s["w"] + w).alias("w"))).otherwise(s)
-
-        return F.aggregate(downwards, zero, step)["n"]
-
-    number = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("fwd", F.transform(number, lambda i: longest_below(i, False) + 1))
-    rows = rows.withColumn("bwd", F.transform(number, lambda i: longest_below(i, True) + 1))
-    forward = F.transform(number, lambda i: F.struct(i.alias("i"), F.get("fwd", i).alias("len")))
-    backward = F.transform(number, lambda j: F.struct((j - F.get("bwd", j) + 1).alias("i"), F.get("bwd", j).alias("len")))
-    runs = F.concat(F.filter(forward, lambda r: r["i"] + r["len"] <= F.col("n")), F.filter(backward, lambda r: (r["i"] >= 0) & (F.get("fwd", r["i"]) != r["len"])))
-
-    def named(r):
-        k = F.floor(F.log2(r["len"])).cast("int")
-        x, y = name(k, r["i"]), name(k, r["i"] + r["len"] - power(k))
-        return F.struct(F.xxhash64(r["len"], x["a"], y["a"]).alias("a"), F.xxhash64(r["len"], x["b"], y["b"]).alias("b"), F.get("at", r["i"]).alias("s"), F.get("at", r["i"] + r["len"] - 1).alias("e"))
-
-    runs = rows.select("doc_id", "rid", F.explode(F.transform(runs, named)).alias("r")).select("doc_id", "rid", "r.*")
+    suffixes = suffix_ranks(docs, min_words)
+    rows = suffixes.groupBy(*STRETCH).agg(F.array_sort(F.collect_list(F.struct("i", "at", "w", "upto", "r"))).alias("l")).withColumn("n", F.size("l"))
+    powers = [1 << k for k in range(min_words.bit_length() - 1, -1, -1)]
+    line = lambda i: F.get("l", i)
+
+    def most_below(words) -> Column:
+        """The most lines that together have fewer than min_words words, words(n) being those of n lines; null beyond the end."""
+        return F.aggregate(F.array(*map(F.lit, powers)), F.lit(0), lambda n, p: n + F.when(words(n + p) < min_words, p).otherwise(0))
+
+    number = F.sequence(F.lit(0), F.col("n") - 1)
+    forward = F.transform(number, lambda i: most_below(lambda n: line(i + n - 1)["upto"] - line(i)["upto"] + line(i)["w"]) + 1)
+    backward = F.transform(number, lambda j: most_below(lambda n: line(j)["upto"] - line(j - n + 1)["upto"] + line(j - n + 1)["w"]) + 1)
+    rows = rows.withColumn("fwd", forward).withColumn("bwd", backward)
+    ahead = F.filter(F.transform("fwd", lambda n, i: F.struct(i.alias("i"), n.alias("len"))), lambda x: x["i"] + x["len"] <= F.col("n"))
+    back = F.filter(F.transform("bwd", lambda n, j: F.struct((j - n + 1).alias("i"), n.alias("len"))), lambda x: (x["i"] >= 0) & (F.get("fwd", x["i"]) != x["len"]))
+
+    def named(x):
+        k = F.floor(F.log2(x["len"])).cast("int")
+        rank = lambda i: F.get(line(i)["r"], k)
+        last = x["i"] + x["len"]
+        return F.struct(x["len"].alias("len"), rank(x["i"]).alias("x"), rank(last - F.get(F.array(*(F.lit(1 << j) for j in range(min_words.bit_length()))), k)).alias("y"), line(x["i"])["at"].alias("s"), line(last - 1)["at"].alias("e"), line(x["i"])["i"].alias("i"), line(last - 1)["i"].alias("j"))
+
+    runs = rows.select(*DOC, F.explode(F.transform(F.concat(ahead, back), named)).alias("run")).select(*DOC, "run.*").where("x is not null and y is not null")
+    runs = cut(runs)
+    interval = ["len", "x", "y"]
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid"), F.col("s").alias("s"))
-    first = runs.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
-    later = runs.join(first, ["a", "b"]).where(place > F.col("first"))
-    spans = F.array_sort(F.collect_set(F.struct("s", "e")))
-    return later.groupBy("doc_id", "rid").agg(spans.alias("spans")).select("doc_id", "rid", _merged(F.col("spans")).alias("spans"))
+    first = cut(runs.groupBy(*interval).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    later = joined(runs, first, interval, "inner").where(place > F.col("first"))
+    spans = F.array_sort(F.collect_set(F.struct("s", "e", "i", "j")))
+    return later.groupBy(*DOC).agg(spans.alias("spans")).select(*DOC, _merged(F.col("spans")).alias("spans"))
 
 
 def _merged(spans: Column) -> Column:
-    """Sorted spans, those that touch or overlap joined into one."""
+    """Sorted spans of lines s to e, those joined whose lines with words, i to j, touch or overlap; blank lines between go along."""
     start = F.struct(F.filter(spans, lambda x: F.lit(False)).alias("done"), F.get(spans, F.lit(0)).alias("now"))
 
     def step(state, x):
         now = state["now"]
-        same = F.struct(state["done"].alias("done"), F.struct(now["s"].alias("s"), F.greatest(now["e"], x["e"]).alias("e")).alias("now"))
+        longer = F.struct(now["s"].alias("s"), F.greatest(now["e"], x["e"]).alias("e"), now["i"].alias("i"), F.greatest(now["j"], x["j"]).alias("j"))
+        same = F.struct(state["done"].alias("done"), longer.alias("now"))
         new = F.struct(F.array_append(state["done"], now).alias("done"), x.alias("now"))
-        return F.when(x["s"] <= now["e"] + 1, same).otherwise(new)
+        return F.when(x["i"] <= now["j"] + 1, same).otherwise(new)
 
     return F.aggregate(spans, start, step, lambda s: F.array_append(s["done"], s["now"]))
 
@@ -93,7 +128,7 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = 50, report: bool = Fal
     """The rows of docs (doc_id long, text string, any others) without later copies of repeated line runs.
 
     A run is deleted where a run of the same lines, of min_words words or more together, occurs earlier, by doc_id (null
-    last) and line; blank lines do not count and go with the run around them. Lines are compared exactly. A document that loses all its lines with
+    last) and line; blank lines do not count, and go where the lines around them do. Lines are compared exactly. A document that loses all its lines with
     words is dropped. n_chars, if there, is set anew for changed texts; texts that lose nothing, null and empty texts stay as they are.
     Rows that repeat a doc_id with the same text are treated alike; with other texts they are ordered by a hash. With
     `report`, no row is dropped, and the columns n_lines, n_removed and kept are added. An empty table gives an empty result.
