@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import logging
 import math
+import tempfile
 import time
 from collections.abc import Callable
 from datetime import date, datetime, timezone
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 log = logging.getLogger("cleanloom")
+_scratch = itertools.count()
 
 #: Carries a row's place where order matters; it is given at ingest and taken off at the end.
 ROW_ID = "__row_id"
@@ -118,22 +121,48 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return replaced(df, {c: F.when(~F.isnan(quoted(c)), quoted(c)) for c in floating}) if floating else df
 
 
-def with_row_id(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
-    """df with ROW_ID: by the scan's own order, or dense ranges of the given sort order.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, the setting spark.checkpoint.dir.
 
-    Ids grow with the order but have gaps; no window over the whole table is needed.
+    Only where that is unset, as in local tests, is a temporary folder made.
+    """
+    context, folder = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise CleaningError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cleanloom-"))
+    return folder or context.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{kind}-{spark.sparkContext.applicationId}-{next(_scratch)}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df kept in the shared folder: ids and places drawn from it are the same whenever it is read, on any executor."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def with_row_id(df: DataFrame, order_by: list[str] | None = None, keep: bool = False) -> DataFrame:
+    """df with ROW_ID: by the scan's own order, or by ranges of the given sort order.
+
+    Ids grow with the order but have gaps; no window over the whole table is needed. The upper bits are the number of the
+    partition that gave the id. With keep the ids are stored, as operators need that read them more than once.
     """
     if ROW_ID in df.columns:
         return df
     if order_by:
         df = df.orderBy(*(quoted(c) for c in order_by))
-    return df.withColumn(ROW_ID, F.monotonically_increasing_id())
+    df = df.withColumn(ROW_ID, F.monotonically_increasing_id())
+    return stored(df) if keep else df
 
 
 def ingest(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
-    """What the plans start from: row ids given, not-a-number turned into null."""
+    """What the plans start from: row ids given and stored, not-a-number turned into null."""
     check_frame(df)
-    return with_row_id(nan_to_null(df), order_by)
+    return with_row_id(nan_to_null(df), order_by, keep=True)
 
 
 def percent(part: float, whole: float) -> float:

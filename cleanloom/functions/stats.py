@@ -1,9 +1,13 @@
-"""Fused statistics: all columns' aggregates in one job."""
+"""Fused statistics: all columns' aggregates in one job, distinct values and quantiles in a few."""
 
 from __future__ import annotations
 
+import math
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cleanloom.core import quoted
 
@@ -14,9 +18,59 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
 
 
-def quantile(c: Column, p: float, exact: bool = True) -> Column:
-    """Linear interpolation between neighbours; exact keeps a count for each distinct value, the other form is bounded."""
-    return F.percentile(c, F.lit(p)) if exact else F.percentile_approx(c, F.lit(p), F.lit(10000)).cast("double")
+def cells(df: DataFrame, values: dict[str, Column], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(c, v) for each value that is not null, c being its place in `values`: one set of expressions then serves all columns."""
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), e.alias("v")) for i, e in enumerate(values.values()))))
+    return df.select(*keep, each.alias("cell")).select(*keep, "cell.c", "cell.v").where("v is not null")
+
+
+def distinct_counts(df: DataFrame, values: dict[str, Column]) -> dict[str, int]:
+    """How many distinct values each has; repeats go before the shuffle, and no value is held with all others."""
+    if not values:
+        return {}
+    as_text = {k: (e + F.lit(0.0) if t in ("float", "double") else F.base64(e) if t == "binary" else e).cast("string") for (k, e), t in zip(values.items(), (t for _, t in df.select(*values.values()).dtypes), strict=True)}
+    found = cells(df, as_text).distinct().groupBy("c").agg(F.count("*").alias("n")).collect()
+    return dict.fromkeys(values, 0) | {list(values)[r.c]: r.n for r in found}
+
+
+def quantiles(df: DataFrame, values: dict[str, Column], shares: tuple[float, ...], exact: bool = True) -> dict[tuple, float | int | None]:
+    """(name, share): the quantile of each value, by linear interpolation between neighbours; (name, "n"): how many there are.
+
+    The exact form counts each distinct value, deals the counts by ranges and looks up the ranks that are needed in their
+    ranges, so that no task holds all values. The other form is one aggregation of bounded size.
+    """
+    names = list(values)
+    if not names:
+        return {}
+    if not exact:
+        got = one_row(df, {(k, "n"): F.count(e) for k, e in values.items()} | {(k, p): F.percentile_approx(e, F.lit(p), F.lit(10000)).cast("double") for k, e in values.items() for p in shares})
+        return got
+    counts = cells(df, {k: e.cast("double") for k, e in values.items()}).groupBy("c", "v").agg(F.count("*").alias("n"))
+    placed = counts.repartitionByRange("c", "v").withColumn("part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        parts = placed.groupBy("c", "part").agg(F.sum("n").alias("n"), F.min("v").alias("least")).orderBy("c", "least").collect()
+        total = {i: sum(r.n for r in parts if r.c == i) for i in range(len(names))}
+        ranks = {(i, k) for i, n in total.items() if n for p in shares for k in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}
+        wanted, before = [], dict.fromkeys(total, 0)
+        for r in parts:
+            wanted += [(r.c, r.part, k, k - before[r.c]) for i, k in ranks if i == r.c and before[r.c] <= k < before[r.c] + r.n]
+            before[r.c] += r.n
+        if not wanted:
+            return {(k, p): None for k in names for p in shares} | {(k, "n"): 0 for k in names}
+        few = F.broadcast(df.sparkSession.createDataFrame(wanted, "c int, part int, rank long, place long"))
+        upto = F.sum("n").over(Window.partitionBy("c", "part").orderBy("v"))
+        found = placed.join(few.select("c", "part").distinct(), ["c", "part"], "left_semi").withColumn("upto", upto).join(few, ["c", "part"]).where("place >= upto - n and place < upto")
+        at = {(r.c, r["rank"]): r.v for r in found.collect()}
+    finally:
+        placed.unpersist()
+    out: dict[tuple, float | int | None] = {(names[i], "n"): n for i, n in total.items()}
+    for i, name in enumerate(names):
+        for p in shares:
+            place = (total[i] - 1) * p
+            low = at.get((i, math.floor(place))) if total[i] else None
+            high = at.get((i, math.ceil(place))) if total[i] else None
+            out[name, p] = None if low is None else low if low == high else low + (high - low) * (place - math.floor(place))
+    return out
 
 
 def sample_skewness(c: Column) -> Column:
@@ -39,12 +93,12 @@ def one_row(df: DataFrame, named: dict[tuple, Column]) -> dict[tuple, object]:
 
 
 def fences(df: DataFrame, columns: list[str], multiplier: float, only_finite: bool, exact: bool = True) -> dict[str, dict]:
-    """n, q1, q3, iqr, lower and upper of each column, in one job."""
+    """n, q1, q3, iqr, lower and upper of each column."""
     value = (lambda c: finite(quoted(c))) if only_finite else (lambda c: quoted(c).try_cast("double"))
-    got = one_row(df, {(c, k): e for c in columns for k, e in (("n", F.count(value(c))), ("q1", quantile(value(c), 0.25, exact)), ("q3", quantile(value(c), 0.75, exact)))})
+    got = quantiles(df, {c: value(c) for c in columns}, (0.25, 0.75), exact)
     out = {}
     for c in columns:
-        n, q1, q3 = (got[c, k] for k in ("n", "q1", "q3"))
+        n, q1, q3 = (got[c, k] for k in ("n", 0.25, 0.75))
         iqr = None if q1 is None else q3 - q1
         out[c] = {"n": n, "q1": q1, "q3": q3, "iqr": iqr, "lower": None if iqr is None else q1 - multiplier * iqr, "upper": None if iqr is None else q3 + multiplier * iqr}
     return out

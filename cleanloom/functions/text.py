@@ -1,4 +1,4 @@
-"""Text expressions; all but two stay in the JVM."""
+"""Text expressions; all but three stay in the JVM."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -23,11 +23,12 @@ TRUE_TOKENS = ("true", "t", "yes", "y", "1", "1.0", "on", "si", "sim")
 FALSE_TOKENS = ("false", "f", "no", "n", "0", "0.0", "off", "nao", "não")
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 INFINITY = r"(?i)^[+-]?inf(inity)?$"
-EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
-URL = r"(?i)^(https?|ftp)://\S+$"
+CURRENCY = "$€£¥₹₽¢₩₪₺R"
+EMAIL = r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$"
+URL = r"(?i)^(https?://|www\.)\S+$"
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-PHONE = r"^\+?[\d\s().-]{7,20}$"
-DATE_LIKE = r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}"
+PHONE = r"^\+?\(?\d[\d\s().-]{6,19}$"
+DATE_LIKE = r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}$"
 
 _EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
@@ -51,9 +52,9 @@ def is_null_token(c: Column, extra: tuple[str, ...] = ()) -> Column:
 
 
 def number_text(c: Column) -> Column:
-    """Text of a number without currency signs, thousands separators, blanks, percent signs and accounting brackets."""
+    """Text of a number without currency signs, thousands separators, blanks, underscores, percent signs and accounting brackets."""
     bare = F.regexp_replace(F.regexp_replace(strip(c), "%+$", ""), r"^\((.+)\)$", "-$1")
-    return F.regexp_replace(bare, r"(?U)[$€£¥₹R,\s]", "")
+    return F.regexp_replace(bare, rf"(?U)[{CURRENCY},_\s]", "")
 
 
 def parse_number(c: Column, percent_to_fraction: bool = False) -> Column:
@@ -102,20 +103,21 @@ def token_sorted(key: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(key, " "), lambda t: t != "")), " ")
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, by the row-wise recurrence in higher-order functions."""
-    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    zeros = F.transform(F.concat(F.array(F.lit("")), chars(b)), lambda x: F.lit(0))
+@F.pandas_udf(IntegerType())
+def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence; a row of the recurrence is one integer, a bit for each character of a."""
 
-    def row(before, x):
-        def cell(acc, j):
-            up, diagonal = F.element_at(before, j + 1), F.element_at(before, j)
-            best = F.when(x == F.substr(b, j, F.lit(1)), diagonal + 1).otherwise(F.greatest(up, F.element_at(acc, -1)))
-            return F.array_append(acc, best)
+    def length(x: str, y: str) -> int:
+        places: dict[str, int] = {}
+        for i, c in enumerate(x):
+            places[c] = places.get(c, 0) | 1 << i
+        row = full = (1 << len(x)) - 1
+        for c in y:
+            same = row & places.get(c, 0)
+            row = (row + same | row - same) & full
+        return len(x) - row.bit_count()
 
-        return F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(F.lit(0)), cell)
-
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(F.element_at(F.aggregate(chars(a), zeros, row), -1))
+    return pd.Series([length(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
 def column_name(raw: str, case: str = "snake", max_length: int = 64) -> str:

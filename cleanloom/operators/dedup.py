@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from cleanloom.core import ROW_ID, data_columns, is_nested, is_text, quoted, resolve_columns, step, with_row_id
+from cleanloom.core import ROW_ID, data_columns, is_nested, is_text, quoted, resolve_columns, step, stored, with_row_id
 from cleanloom.functions import text as X
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -31,8 +31,8 @@ def _key(c: str, kind: T.DataType, ignore_case: bool, ignore_whitespace: bool) -
 def drop_exact_duplicates(df: DataFrame, subset: list[str] | None = None, keep: str | bool = "first", ignore_case: bool = True, ignore_whitespace: bool = True, order_by: list[str] | None = None) -> tuple[DataFrame, dict]:
     """Rows whose normalised keys are equal (null equals null) are one; the survivor keeps its raw values.
 
-    keep is 'first', 'last' or False (none of a group stays). Groups are formed by a hash of the keys' struct: the window
-    sorts within a group only, and for keep='first' or 'last' a group's best row id is combined before the shuffle.
+    keep is 'first', 'last' or False (none of a group stays). A group's survivor is combined before the shuffle, so that a key
+    that very many rows share makes no large task.
     """
     if keep not in ("first", "last", False):
         raise ValueError("keep must be 'first', 'last' or False")
@@ -47,12 +47,10 @@ def drop_exact_duplicates(df: DataFrame, subset: list[str] | None = None, keep:
     repeated = groups.where("n > 1")
     totals = repeated.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("groups")).first()
     examples = [{"rows": r.n, "key": r.key.asDict()} for r in repeated.orderBy("first").limit(3).collect()]
-    w = Window.partitionBy(key)
-    if keep is False:
-        out = df.withColumn("__n", F.count("*").over(w)).where("__n = 1").drop("__n")
-    else:
-        best = w.orderBy(F.col(ROW_ID).asc() if keep == "first" else F.col(ROW_ID).desc())
-        out = df.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
+    row = F.struct(*(quoted(c) for c in df.columns))
+    best = (F.max_by if keep == "last" else F.min_by)(row, F.col(ROW_ID))
+    out = df.groupBy(key.alias("__key")).agg(best.alias("__row"), F.count("*").alias("__n"))
+    out = (out.where("__n = 1") if keep is False else out).select("__row.*")
     removed = totals.rows - (totals.groups if keep is not False else 0)
     return out if had else out.drop(ROW_ID), {"rows_removed": removed, "duplicate_groups": totals.groups, "keep": keep, "examples": examples}
 
@@ -60,7 +58,8 @@ def drop_exact_duplicates(df: DataFrame, subset: list[str] | None = None, keep:
 def similarity(a: Column, b: Column) -> Column:
     """Token-sort ratio: 2 * LCS over the summed lengths of the token-sorted keys; 0 where one is empty."""
     total = F.length(a) + F.length(b)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).when(a == b, 1.0).otherwise(2.0 * X.lcs_length(a, b) / total)
+    common = X.lcs_length(F.when(a != b, a).otherwise(""), F.when(a != b, b).otherwise(""))
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).when(a == b, 1.0).otherwise(2.0 * common / total)
 
 
 def fuzzy_pairs(keyed: DataFrame, threshold: float) -> DataFrame:
@@ -115,7 +114,7 @@ def fuzzy_deduplicate(
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     had = ROW_ID in df.columns
-    df = with_row_id(df, order_by)
+    df = with_row_id(df, order_by, keep=True)
     named = resolve_columns(df, columns, is_text)
     warnings = [f"backend {backend!r} is not available; the built-in one is used"] if backend not in ("auto", "spark") else []
     if not named:
@@ -127,8 +126,8 @@ def fuzzy_deduplicate(
     sizes = keyed.groupBy("block").agg(F.count("*").alias("n"))
     large = sizes.agg(F.count_if(F.col("n") > max_block_size).alias("blocks"), F.coalesce(F.sum(F.when(F.col("n") > max_block_size, F.col("n"))), F.lit(0)).alias("rows")).first()
     usable = keyed.join(sizes.where((F.col("n") > 1) & (F.col("n") <= max_block_size)).select("block"), "block")
-    edges = fuzzy_pairs(usable, threshold).persist()
-    members = edges.select("block", "l", "r").groupBy("block").applyInPandas(_clusters, "id long, cluster long").join(keyed.select("id", "key", "complete"), "id").persist()
+    edges = stored(fuzzy_pairs(usable, threshold))
+    members = stored(edges.select("block", "l", "r").groupBy("block").applyInPandas(_clusters, "id long, cluster long").join(keyed.select("id", "key", "complete"), "id"))
     order = {"most_complete": [F.col("complete").desc(), F.col("id")], "first": [F.col("id")], "last": [F.col("id").desc()]}[keep]
     ranked = members.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(*order)))
     out = df.join(ranked.where("rank > 1").select(F.col("id").alias(ROW_ID)), ROW_ID, "left_anti").select(*df.columns)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from cleanloom.core import ROW_ID, data_columns, is_nested, is_number, is_text, is_time, percent, quoted, replaced, resolve_columns, step, with_row_id
-from cleanloom.functions.stats import fences, finite, one_row, sample_skewness
+from cleanloom.core import ROW_ID, data_columns, is_nested, is_number, is_text, is_time, percent, quoted, replaced, resolve_columns, step, stored, with_row_id
+from cleanloom.functions.stats import distinct_counts, fences, finite, one_row, quantiles, sample_skewness
 
 STRATEGIES = ("auto", "drop_rows", "drop_columns", "mean", "median", "mode", "constant", "ffill", "bfill", "interpolate", "knn", "iterative", "leave")
 #: Rows of a block of donors, and of rows that look for neighbours among them, on average.
@@ -23,7 +23,7 @@ def missing(c: str, kind: T.DataType) -> Column:
 
 
 def choose_strategies(df: DataFrame, columns: list[str]) -> dict[str, str]:
-    """The automatic choice for each column, from two jobs over all of them."""
+    """The automatic choice for each column, from a few jobs over all of them."""
     kinds = {f.name: f.dataType for f in df.schema}
     numbers = [c for c in columns if is_number(kinds[c])]
     wanted = {("rows",): F.count("*")}
@@ -31,9 +31,7 @@ def choose_strategies(df: DataFrame, columns: list[str]) -> dict[str, str]:
         wanted[c, "missing"] = F.count_if(missing(c, kinds[c]))
         if c in numbers:
             wanted[c, "skew"] = sample_skewness(finite(quoted(c)))
-        elif is_text(kinds[c]):
-            wanted[c, "unique"] = F.count_distinct(quoted(c))
-    got = one_row(df, wanted)
+    got = one_row(df, wanted) | {(c, "unique"): n for c, n in distinct_counts(df, {c: quoted(c) for c in columns if is_text(kinds[c])}).items()}
     bounds = fences(df, numbers, 1.5, only_finite=True)
     outside = lambda c: (finite(quoted(c)) < bounds[c]["lower"]) | (finite(quoted(c)) > bounds[c]["upper"])
     far = one_row(df, {(c,): F.coalesce(F.bool_or(outside(c)), F.lit(False)) for c in numbers if bounds[c]["n"]})
@@ -57,23 +55,68 @@ def choose_strategies(df: DataFrame, columns: list[str]) -> dict[str, str]:
     return out
 
 
-def _filled(df: DataFrame, c: str, forward: bool, partition_by: list[str]) -> Column:
-    """The nearest earlier value, or the nearest later one where there is none; the other way round for backward."""
-    w = Window.partitionBy(*([quoted(p) for p in partition_by] or [F.lit(1)])).orderBy(ROW_ID)
-    before = F.last(quoted(c), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(quoted(c), True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return F.coalesce(before, after) if forward else F.coalesce(after, before)
+def most_frequent(df: DataFrame, values: dict[str, Column]) -> dict[tuple, object]:
+    """(column,): the most frequent value, the least of several. Values are counted before the shuffle and never held together."""
+    out = {}
+    for c, e in values.items():
+        row = df.select(e.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "v").first()
+        out[c,] = row and row.v
+    return out
+
+
+def _stretches(df: DataFrame, partition_by: list[str]) -> list[Column]:
+    """What the rows are grouped by to be filled in order: the given columns, else the partition that gave the row its id."""
+    return [quoted(p) for p in partition_by] or [F.shiftright(F.col(ROW_ID), 33)]
+
 
+def _carried(df: DataFrame, c: str) -> DataFrame:
+    """__part, and what its rows can take from outside: __before and __after, (v, i) of the nearest known values, i being the place
+    in the whole table, and __first, the place of the part's first row.
 
-def interpolate(df: DataFrame, c: str, partition_by: list[str]) -> DataFrame:
-    """Linear between the neighbours by position; beyond the ends the nearest value."""
-    w = Window.partitionBy(*([quoted(p) for p in partition_by] or [F.lit(1)])).orderBy(ROW_ID)
-    named = df.withColumn("__place", F.row_number().over(w)).withColumn("__known", F.when(quoted(c).isNotNull(), F.struct(quoted(c).cast("double").alias("v"), F.col("__place").alias("i"))))
-    named = named.withColumn("__p", F.last("__known", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.first("__known", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    A row for each part is all that is ordered as a whole; the parts are those of the rows' ids.
+    """
+    part = F.shiftright(F.col(ROW_ID), 33)
+    w = Window.partitionBy(part).orderBy(ROW_ID)
+    known = df.select(part.alias("__part"), F.row_number().over(w).alias("i"), quoted(c).alias("v"))
+    place = F.when(F.col("v").isNotNull(), F.struct("i", "v"))
+    ends = known.groupBy("__part").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+    everything = Window.partitionBy(F.lit(1)).orderBy("__part")
+    upto = F.sum("n").over(everything) - F.col("n")
+    moved = lambda e: F.when(F.col(e).isNotNull(), F.struct(F.col(e)["v"].alias("v"), (F.col(e)["i"] + F.col("__first")).alias("i")))
+    ends = ends.withColumn("__first", upto).withColumn("first", moved("first")).withColumn("last", moved("last"))
+    before = F.last("last", True).over(everything.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("first", True).over(everything.rowsBetween(1, Window.unboundedFollowing))
+    return ends.select("__part", "__first", before.alias("__before"), after.alias("__after"))
+
+
+def ordered_fill(df: DataFrame, c: str, how: str, partition_by: list[str]) -> DataFrame:
+    """df with c filled along the rows' order: ffill, bfill (each falls back on the other at its end) or interpolate.
+
+    With partition_by each group is filled by itself. Without, each part of the ids is, and takes from other parts what lies
+    beyond its ends, so that no task has all rows.
+    """
+    w = Window.partitionBy(*_stretches(df, partition_by)).orderBy(ROW_ID)
+    if partition_by:
+        none = F.lit(None).cast(T.StructType([T.StructField("v", df.schema[c].dataType), T.StructField("i", T.LongType())]))
+        named = df.withColumn("__first", F.lit(0).cast("long")).withColumn("__before", none).withColumn("__after", none)
+    else:
+        named = df.withColumn("__part", F.shiftright(F.col(ROW_ID), 33)).join(F.broadcast(_carried(df, c)), "__part").drop("__part")
+    named = named.withColumn("__place", F.row_number().over(w) + F.col("__first"))
+    known = F.when(quoted(c).isNotNull(), F.struct(quoted(c).alias("v"), F.col("__place").alias("i")))
+    named = named.withColumn("__known", known)
+    before = F.coalesce(F.last("__known", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("__before"))
+    after = F.coalesce(F.first("__known", True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.col("__after"))
+    named = named.withColumn("__p", before).withColumn("__n", after)
     p, n = F.col("__p"), F.col("__n")
-    between = p["v"] + (n["v"] - p["v"]) * (F.col("__place") - p["i"]) / F.nullif(n["i"] - p["i"], F.lit(0))
-    value = F.coalesce(quoted(c).cast("double"), between, p["v"], n["v"])
-    return replaced(named, {c: value}).drop("__place", "__known", "__p", "__n")
+    if how == "ffill":
+        value = F.coalesce(p["v"], n["v"])
+    elif how == "bfill":
+        value = F.coalesce(n["v"], p["v"])
+    else:
+        low, high = p["v"].cast("double"), n["v"].cast("double")
+        between = low + (high - low) * (F.col("__place") - p["i"]) / F.nullif(n["i"] - p["i"], F.lit(0))
+        value = F.coalesce(quoted(c).cast("double"), between, low, high)
+    return replaced(named, {c: value}).select(*(quoted(x) for x in df.columns))
 
 
 def _nearest(k: int, n_features: int, at: int):
@@ -143,14 +186,15 @@ def iterative_impute(df: DataFrame, targets: list[str], rounds: int = 10) -> Dat
     """Round-robin ridge regression of each target on the other numeric columns, starting from means.
 
     A model needs the sums of products only: one aggregation a feature and round, and a small solve on the driver. The
-    fitted values are formulas over the raw columns, so that nothing is joined or collected.
+    fitted values are formulas over the raw columns. It is a ridge of fixed weight, not one whose weight is estimated.
     """
     kinds = {f.name: f.dataType for f in df.schema}
     features = [c for c in data_columns(df) if is_number(kinds[c])]
     raw = {c: F.when(~missing(c, kinds[c]), quoted(c).cast("double")) for c in features}
     first = one_row(df, {(c,): F.avg(raw[c]) for c in features} | {(c, "s"): F.stddev_pop(raw[c]) for c in features})
     work = df.select(ROW_ID, *(raw[c].alias(f"r{i}") for i, c in enumerate(features)), *(F.coalesce(raw[c], F.lit(first[c,] or 0.0)).alias(f"x{i}") for i, c in enumerate(features)))
-    work = work.persist()
+    kept = [work.persist()]
+    work = kept[0]
     wanted = [i for i, c in enumerate(features) if c in targets]
     before = None
     for _ in range(rounds):
@@ -169,12 +213,15 @@ def iterative_impute(df: DataFrame, targets: list[str], rounds: int = 10) -> Dat
             guess = sum((F.lit(float(w[k])) * terms[k] for k in range(m)), F.lit(0.0))
             work = work.withColumn(f"x{t}", F.coalesce(y, guess))
         fresh = work.persist()
+        kept.append(fresh)
         now = one_row(fresh, {(i,): F.sum(f"x{i}") for i in wanted})
         if before is not None and all(abs((now[k] or 0) - (before[k] or 0)) <= 1e-6 * max(1.0, abs(now[k] or 0)) for k in now):
             work = fresh
             break
         work, before = fresh, now
-    filled = work.select(ROW_ID, *(F.col(f"x{i}").alias(f"__x{i}") for i in wanted))
+    filled = stored(work.select(ROW_ID, *(F.col(f"x{i}").alias(f"__x{i}") for i in wanted)))
+    for frame in kept:
+        frame.unpersist()
     out = df.join(filled, ROW_ID, "left")
     return replaced(out, {features[i]: F.col(f"__x{i}") for i in wanted}).drop(*(f"__x{i}" for i in wanted))
 
@@ -194,17 +241,20 @@ def handle_missing_values(
     order_by: list[str] | None = None,
     partition_by: list[str] | None = None,
     strict_parity: bool = False,
+    exact_quantiles: bool = True,
 ) -> tuple[DataFrame, dict]:
     """Rows with too many gaps go, then each column with gaps gets its strategy; what does not apply only warns.
 
-    Forward and backward fill and interpolation follow the rows' order; partition_by keeps them within groups, which
-    also keeps them parallel. The global strategy drop_columns drops columns with gaps only, unless strict_parity.
+    Forward and backward fill and interpolation follow the rows' order; partition_by keeps them within groups. Medians are
+    exact unless exact_quantiles is False. The global strategy drop_columns drops columns with gaps only, unless strict_parity.
     """
     bad = {strategy, *(column_strategies or {}).values()} - set(STRATEGIES)
     if bad:
         raise ValueError(f"unknown strategies: {sorted(bad)}")
     had = ROW_ID in df.columns
-    df = with_row_id(df, order_by)
+    used = {strategy, *(column_strategies or {}).values()}
+    ids_twice = used & {"auto", "knn", "iterative"} or used & {"ffill", "bfill", "interpolate"} and not partition_by
+    df = with_row_id(df, order_by, keep=bool(ids_twice))
     kinds = {f.name: f.dataType for f in df.schema}
     named = resolve_columns(df, columns)
     resolve_columns(df, list(column_strategies or {}))
@@ -243,7 +293,10 @@ def handle_missing_values(
         elif s == "mode" and is_nested(kinds[c]):
             report["warnings"].append(f"{c}: nested values have no mode; its gaps stay")
             plan[c] = "leave"
-    stats = one_row(out, {(c,): {"mean": F.avg(value(c)), "median": F.percentile(value(c), F.lit(0.5)), "mode": F.mode(value(c), True)}[s] for c, s in plan.items() if s in ("mean", "median", "mode")})
+    stats = one_row(out, {(c,): F.avg(value(c)) for c, s in plan.items() if s == "mean"})
+    middle = quantiles(out, {c: value(c).cast("double") for c, s in plan.items() if s == "median"}, (0.5,), exact_quantiles)
+    stats |= {(c,): middle[c, 0.5] for c, s in plan.items() if s == "median"}
+    stats |= most_frequent(out, {c: value(c) for c, s in plan.items() if s == "mode"})
     new = dict(extra)
     for c, s in plan.items():
         if s in ("mean", "median") and stats[c,] is not None:
@@ -252,11 +305,10 @@ def handle_missing_values(
             new[c] = F.coalesce(value(c), F.lit(stats[c,]).cast(kinds[c]))
         elif s == "constant":
             new[c] = F.coalesce(value(c), F.lit(numeric_fill_value if numeric(c) else fill_value).cast(kinds[c]))
-        elif s in ("ffill", "bfill"):
-            new[c] = _filled(out, c, s == "ffill", partition_by or [])
     out = replaced(out, new)
-    for c in (c for c, s in plan.items() if s == "interpolate"):
-        out = interpolate(out, c, partition_by or [])
+    for c, s in plan.items():
+        if s in ("ffill", "bfill", "interpolate"):
+            out = ordered_fill(out, c, s, partition_by or [])
     drop = [c for c, s in plan.items() if s == "drop_rows"]
     if drop:
         keep = ~missing(drop[0], kinds[drop[0]])

@@ -11,13 +11,15 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cleanloom.core import is_number, percent, quoted, replaced, resolve_columns, step
-from cleanloom.functions.stats import fences, finite, one_row
+from cleanloom.core import is_number, percent, quoted, replaced, resolve_columns, step, stored
+from cleanloom.functions.stats import fences, finite, one_row, quantiles
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Rows that the forest's trees are drawn from: a bound on what goes to the driver.
 FOREST_SAMPLE = 25_600
+#: Holds the forest's scores while they are used.
+SCORE = "__anomaly_score"
 
 
 def _fences(df: DataFrame, columns: list[str], multiplier: float, min_samples: int) -> tuple[dict, dict]:
@@ -96,46 +98,47 @@ class Forest:
         return 2.0 ** (-depth / len(self.trees) / max(self.path(self.psi), 1e-12))
 
 
-def _forest_mask(df: DataFrame, named: list[str], contamination: float, n_estimators: int, random_state: int) -> tuple[Column | None, dict]:
-    """The row mask as a column of df, or None with the reason."""
+def _forest_mask(df: DataFrame, named: list[str], contamination: float, n_estimators: int, random_state: int, sample_rows: int = FOREST_SAMPLE) -> tuple[DataFrame, Column | None, Column | None, dict]:
+    """df with a column of scores, which are computed once and stored; the row mask and the score in it, or None with the reason."""
     if not 0 < contamination <= 0.5:
         raise ValueError("contamination must be in (0, 0.5]")
     if not named:
-        return None, {"status": "skipped", "reason": "no numeric columns"}
+        return df, None, None, {"status": "skipped", "reason": "no numeric columns"}
     value = [quoted(c).try_cast("double") for c in named]
     present = F.coalesce(*value).isNotNull()
-    got = one_row(df, {("n",): F.count_if(present)} | {(c,): F.percentile(finite(quoted(c)), F.lit(0.5)) for c in named})
-    if got["n",] < 10:
-        return None, {"status": "skipped", "reason": "too few rows"}
-    filled = [F.coalesce(finite(quoted(c)), F.lit(got[c,] if got[c,] is not None else 0.0)) for c in named]
+    if one_row(df, {("n",): F.count_if(present)})["n",] < 10:
+        return df, None, None, {"status": "skipped", "reason": "too few rows"}
+    middle = quantiles(df, {c: finite(quoted(c)) for c in named}, (0.5,))
+    filled = [F.coalesce(finite(quoted(c)), F.lit(middle[c, 0.5] if middle[c, 0.5] is not None else 0.0)) for c in named]
     points = df.where(present).select(*(e.alias(f"x{i}") for i, e in enumerate(filled)))
-    sample = points.orderBy(F.xxhash64(*points.columns, F.lit(random_state)), *points.columns).limit(FOREST_SAMPLE).collect()
+    sample = points.orderBy(F.xxhash64(*points.columns, F.lit(random_state)), *points.columns).limit(sample_rows).collect()
     forest = Forest(np.array(sample, dtype=float), n_estimators, random_state)
 
     @F.pandas_udf("double")
     def anomaly(*columns: pd.Series) -> pd.Series:
         return pd.Series(forest.score(np.column_stack([c.to_numpy(float) for c in columns])))
 
-    score = F.when(present, anomaly(*filled))
-    stats = one_row(df.select(score.alias("s")), {(k,): e for k, e in (("cut", F.percentile("s", F.lit(1 - contamination))), ("min", F.min("s")), ("max", F.max("s")), ("mean", F.avg("s")))})
-    report = {"score_threshold": stats["cut",], "score_stats": {k: stats[k,] for k in ("min", "max", "mean")}, "features": named, "contamination": contamination}
-    return (F.coalesce(score > stats["cut",], F.lit(False)), score), report
+    scored = stored(df.withColumn(SCORE, F.when(present, anomaly(*filled))))
+    score = F.col(SCORE)
+    cut = quantiles(scored, {"s": score}, (1 - contamination,))["s", 1 - contamination]
+    stats = one_row(scored, {(k,): e for k, e in (("min", F.min(score)), ("max", F.max(score)), ("mean", F.avg(score)))})
+    report = {"score_threshold": cut, "score_stats": {k: stats[k,] for k in ("min", "max", "mean")}, "features": named, "contamination": contamination}
+    return scored, F.coalesce(score > cut, F.lit(False)), score, report
 
 
 @step("detect_outliers_isolation_forest")
 def detect_outliers_isolation_forest(
-    df: DataFrame, columns: list[str] | None = None, contamination: float = 0.05, n_estimators: int = 100, random_state: int = 42, scale: bool = True, impute_missing: bool = True, return_scores: bool = False
+    df: DataFrame, columns: list[str] | None = None, contamination: float = 0.05, n_estimators: int = 100, random_state: int = 42, scale: bool = True, impute_missing: bool = True, return_scores: bool = False, sample_rows: int = FOREST_SAMPLE
 ) -> tuple[DataFrame, dict]:
     """A boolean row mask is_outlier, with anomaly_score if asked; rows without any value are never outliers.
 
-    Trees are grown on the driver from a bounded sample and score all rows in Arrow batches. Splits follow the axes, so
-    scaling does not change them; the arguments scale and impute_missing are accepted for that.
+    Trees are grown on the driver from at most sample_rows rows, drawn by a hash, and score all rows in Arrow batches.
+    Splits follow the axes, so scaling does not change them; the arguments scale and impute_missing are accepted for that.
     """
-    found, report = _forest_mask(df, resolve_columns(df, columns, is_number), contamination, n_estimators, random_state)
+    df, mask, score, report = _forest_mask(df, resolve_columns(df, columns, is_number), contamination, n_estimators, random_state, sample_rows)
     ids = [c for c in df.columns if c == "__row_id"]
-    if found is None:
+    if mask is None:
         return df.select(*ids, F.lit(False).alias("is_outlier")), report | {"n_outliers": 0}
-    mask, score = found
     scored = df.select(*ids, mask.alias("is_outlier"), *([score.alias("anomaly_score")] if return_scores else []))
     return scored, report | {"n_outliers": scored.where("is_outlier").count()}
 
@@ -171,9 +174,9 @@ def treat_outliers(
         for c, f in good.items():
             row = row | _outside(c, f)
     if method != "iqr":
-        found, report["isolation_forest"] = _forest_mask(df, named, contamination, 100, 42)
-        if found is not None:
-            row = row | found[0]
+        df, mask, _, report["isolation_forest"] = _forest_mask(df, named, contamination, 100, 42)
+        if mask is not None:
+            row = row | mask
     if action == "clip" and method == "isolation_forest":
         report["warnings"].append("a forest has no bounds to clip to; rows are flagged")
         action = "flag"
@@ -181,9 +184,9 @@ def treat_outliers(
     report["rows_affected"], report["cells_affected"] = counts.pop(("rows",)), sum(counts.values())
     report["per_column"] = {c: n for (c,), n in counts.items()}
     if action == "flag":
-        return replaced(df, {flag_column: row}), report
+        return replaced(df, {flag_column: row}).drop(SCORE), report
     if action == "remove":
-        return df.where(~row), report
+        return df.where(~row).drop(SCORE), report
     new = {}
     for c, f in good.items():
         v = quoted(c).cast("double")
@@ -191,4 +194,4 @@ def treat_outliers(
         new[c] = clipped if (column_actions or {}).get(c, action) == "clip" else F.when(~_outside(c, f), v)
     if action == "nan" and method == "isolation_forest":
         new = {c: F.when(~row, quoted(c).cast("double")) for c in named}
-    return replaced(df, new), report
+    return replaced(df, new).drop(SCORE), report

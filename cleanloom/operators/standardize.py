@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from cleanloom.core import ROW_ID, data_columns, is_number, is_text, quoted, replaced, resolve_columns, step, with_row_id
 from cleanloom.functions import text as X
-from cleanloom.functions.stats import one_row
+from cleanloom.functions.stats import cells, distinct_counts, one_row
 
 
 @step("normalize_missing_tokens")
@@ -96,7 +96,7 @@ def standardize_types(
 ) -> tuple[DataFrame, dict]:
     """Text columns take the first of boolean, numeric and datetime that enough of their values parse as.
 
-    One job probes all columns, one counts cells that do not parse; the conversion is a projection. Other
+    One job probes all columns, one counts distinct values, one cells that do not parse; the conversion is a projection. Other
     text of few distinct values is marked as a category in the column's metadata. All rows are probed; an
     inference_sample_size limits that to so many rows, drawn by a seeded hash.
     """
@@ -104,17 +104,23 @@ def standardize_types(
     named = resolve_columns(df, columns)
     texts = [c for c in named if is_text(kinds[c])]
     sample = df if inference_sample_size is None else with_row_id(df).orderBy(F.xxhash64(ROW_ID, F.lit(seed)), ROW_ID).limit(inference_sample_size)
-    probes = {}
-    for c in texts:
-        v = F.when(X.strip(quoted(c)) != "", quoted(c))
-        share = lambda e, v=v: F.avg(F.when(v.isNotNull(), e.isNotNull().cast("double")))
-        probes[c, "boolean"] = share(X.parse_boolean(v))
-        probes[c, "numeric"] = share(X.parse_number(v))
-        probes[c, "datetime"] = share(X.parse_datetime(v, datetime_format, dayfirst))
-        probes[c, "zeros"] = F.coalesce(F.bool_or(X.strip(v).rlike(r"^0\d+$")), F.lit(False))
-        probes[c, "digits"] = F.avg(F.when(v.isNotNull(), X.strip(v).rlike(r"^\d+$").cast("double")))
-        probes[c, "n"], probes[c, "unique"] = F.count(quoted(c)), F.count_distinct(quoted(c))
-    got = one_row(sample, probes)
+    got = dict.fromkeys(((c, k) for c in texts for k in ("boolean", "numeric", "datetime", "zeros", "digits", "n", "unique")))
+    if texts:
+        v = F.when(X.strip(F.col("v")) != "", F.col("v"))
+        share = lambda e: F.avg(F.when(F.col("v").isNotNull(), e.isNotNull().cast("double")))
+        probes = {
+            "boolean": share(X.parse_boolean(F.col("v"))),
+            "numeric": share(X.parse_number(F.col("v"))),
+            "datetime": share(X.parse_datetime(F.col("v"), datetime_format, dayfirst)),
+            "zeros": F.coalesce(F.bool_or(X.strip(F.col("v")).rlike(r"^0\d+$")), F.lit(False)),
+            "digits": F.avg(X.strip(F.col("v")).rlike(r"^\d+$").cast("double")),
+            "n": F.count("*"),
+        }
+        for r in cells(sample, {c: quoted(c) for c in texts}).select("c", v.alias("v")).groupBy("c").agg(*(e.alias(k) for k, e in probes.items())).collect():
+            got |= {(texts[r.c], k): x for k, x in r.asDict().items() if k != "c"}
+        if category_threshold is not None:
+            got |= {(c, "unique"): n for c, n in distinct_counts(df, {c: quoted(c) for c in texts}).items()}
+            rows = df.count()
     new, chosen, categories = {}, {}, []
     for c in texts:
         ratio = lambda k, c=c: got[c, k] or 0.0
@@ -124,7 +130,7 @@ def standardize_types(
             chosen[c], new[c] = "numeric", X.parse_number(quoted(c), percent_to_fraction)
         elif convert_datetime and ratio("datetime") >= min_match_ratio and ratio("digits") <= 0.5:
             chosen[c], new[c] = "datetime", X.parse_datetime(quoted(c), datetime_format, dayfirst)
-        elif category_threshold is not None and got[c, "n"] and got[c, "unique"] / got[c, "n"] <= category_threshold:
+        elif category_threshold is not None and got[c, "unique"] and got[c, "unique"] / rows <= category_threshold:
             categories.append(c)
     lost = one_row(df, {(c,): F.count_if(quoted(c).isNotNull() & e.isNull()) for c, e in new.items()})
     numbers = [c for c in named if downcast and is_number(kinds[c]) and not isinstance(kinds[c], T.DecimalType)]

@@ -7,7 +7,7 @@ import time
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from cleanloom.core import ROW_ID, ingest, json_safe
+from cleanloom.core import ROW_ID, ingest, json_safe, stored
 from cleanloom.operators.dedup import drop_exact_duplicates, fuzzy_deduplicate
 from cleanloom.operators.missing import handle_missing_values
 from cleanloom.operators.outliers import treat_outliers
@@ -42,7 +42,10 @@ class CleaningPipeline:
         self.apply_outlier_rules, self.suite = apply_outlier_rules, suite
 
     def run(self, df: DataFrame) -> tuple[DataFrame, dict]:
-        """(clean table, summary). Steps are lazy between the persist points; each report is one or two jobs."""
+        """(clean table, summary). Steps are lazy between the points where a table is kept; each report is a few jobs.
+
+        What is kept on the way is let go at the end; the clean table is stored.
+        """
         began = time.perf_counter()
         log: list[dict] = []
 
@@ -51,7 +54,8 @@ class CleaningPipeline:
             log.append(report)
             return frame, report
 
-        raw = ingest(df, self.order_by).persist(StorageLevel.MEMORY_AND_DISK)
+        raw = ingest(df, self.order_by)
+        kept: list[DataFrame] = []
         _, profile = do(profile_dataframe, raw)
         columns, issues = list(profile.get("columns", {})), profile.get("dataset_issues", [])
         impute, tokens, outlier_rules, found = {}, [], {}, []
@@ -63,11 +67,11 @@ class CleaningPipeline:
         new = lambda c: renamed.get(c, c)
         now, _ = do(normalize_missing_tokens, now, extra_tokens=tuple(tokens))
         now, _ = do(standardize_text, now, case=self.text_case)
-        now = now.persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(now := now.persist(StorageLevel.MEMORY_AND_DISK))
         now, types = do(standardize_types, now)
-        now = now.persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(now := now.persist(StorageLevel.MEMORY_AND_DISK))
         now, exact = do(drop_exact_duplicates, now)
-        now = now.persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(now := now.persist(StorageLevel.MEMORY_AND_DISK))
         removed_fuzzy = 0
         if self.fuzzy_dedup:
             text = [c for c, t in now.dtypes if t == "string"]
@@ -84,7 +88,9 @@ class CleaningPipeline:
                     x["kwargs"]["column"] = new(x["kwargs"]["column"])
                 if "column_set" in x["kwargs"]:
                     x["kwargs"]["column_set"] = [new(c) for c in x["kwargs"]["column_set"]]
-        clean = now.drop(ROW_ID).persist(StorageLevel.MEMORY_AND_DISK)
+        clean = stored(now.drop(ROW_ID))
+        for frame in kept:
+            frame.unpersist()
         _, checks = do(validate_dataframe, clean, suite=suite or {"suite_name": "empty", "expectations": []})
         _, after = do(profile_dataframe, clean)
         before, end = profile.get("overview", {}), after.get("overview", {})
