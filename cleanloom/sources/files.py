@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-import importlib.util
 import os
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanloom.core import ROW_ID, CleaningError, MissingDependencyError
+from cleanloom.core import ROW_ID, CleaningError
 from cleanloom.operators.standardize import normalize_missing_tokens
 from cleanloom.plans.pipeline import CleaningPipeline
+from cleanloom.sources import xlsx
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """A table by the path's suffix: csv, json (rows, or {column: {row: value}}), jsonl, parquet, orc, xlsx."""
-    kind = os.path.splitext(path)[1].lower()
+def read_any(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A table by the path's suffix: csv, json (rows, or {column: {row: value}}), jsonl, parquet, orc, xlsx.
+
+    Quoted fields of a csv file may hold line breaks, which makes the file one task; with multi_line=False it is split.
+    """
+    kind = os.path.splitext(path.rstrip("/"))[1].lower()
     if kind == ".csv":
-        df = spark.read.option("header", True).option("inferSchema", True).option("multiLine", True).option("escape", '"').csv(path)
+        df = spark.read.option("header", True).option("inferSchema", True).option("multiLine", multi_line).option("escape", '"').csv(path)
         return normalize_missing_tokens(df)[0]
     if kind == ".jsonl":
         return spark.read.json(path)
@@ -27,7 +31,7 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.parquet(path)
     if kind == ".orc":
         return spark.read.orc(path)
-    if kind in (".xlsx", ".xls"):
+    if kind == ".xlsx":
         return _read_excel(spark, path)
     raise CleaningError(f"no reader for {kind or 'a file without suffix'}")
 
@@ -43,17 +47,18 @@ def _column_json(spark: SparkSession, path: str) -> DataFrame | None:
     return df.select(F.explode(F.array(*(F.struct(*(cell(c, r).alias(c) for c in df.columns)) for r in rows))).alias("r")).select("r.*")
 
 
-def _need_openpyxl() -> None:
-    if importlib.util.find_spec("openpyxl") is None:
-        raise MissingDependencyError("Excel files need the package openpyxl")
-
-
 def _read_excel(spark: SparkSession, path: str) -> DataFrame:
-    _need_openpyxl()
-    import openpyxl
-
-    head, *rows = openpyxl.load_workbook(path, read_only=True, data_only=True).active.iter_rows(values_only=True)
-    return spark.createDataFrame([tuple(r) for r in rows], [str(h) for h in head])
+    """The first sheet; a column of cells of several kinds is text. A workbook is read on the driver, as a sheet's size is bounded by its format."""
+    head, *rows = xlsx.read_sheet(bytes(spark.read.format("binaryFile").load(path).select("content").first().content)) or [[]]
+    names = [f"column_{i + 1}" if h is None else str(h) for i, h in enumerate(head)]
+    rows = [[*r[: len(names)], *[None] * (len(names) - len(r))] for r in rows]
+    kinds = []
+    for i in range(len(names)):
+        found = {type(r[i]) for r in rows if r[i] is not None}
+        kinds.append({int: "long", float: "double", bool: "boolean", datetime: "timestamp_ntz"}.get(found.pop(), "string") if len(found) == 1 else "double" if found == {int, float} else "string")
+    fit = {"double": float, "string": str}
+    rows = [tuple(v if v is None else fit.get(k, lambda x: x)(v) for v, k in zip(r, kinds, strict=True)) for r in rows]
+    return spark.createDataFrame(rows, ", ".join(f"`{n.replace('`', '``')}` {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
@@ -63,19 +68,18 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
 
 
 def write_excel(df: DataFrame, path: str, sheet: str = "CleanedData", max_rows: int = 1_048_575) -> None:
-    """An Excel sheet, which holds max_rows rows at most."""
-    _need_openpyxl()
-    import openpyxl
-
-    rows = df.drop(ROW_ID).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    """An Excel sheet, which holds max_rows rows at most; written on the driver, to any file system that Spark reaches."""
+    out = df.drop(ROW_ID)
+    if out.limit(max_rows + 1).count() > max_rows:
         raise CleaningError(f"an Excel sheet holds {max_rows} rows")
-    book = openpyxl.Workbook(write_only=True)
-    page = book.create_sheet(sheet)
-    page.append(df.drop(ROW_ID).columns)
-    for r in rows:
-        page.append(list(r))
-    book.save(path)
+    data = xlsx.write_sheet(out.columns, (tuple(r) for r in out.toLocalIterator()), sheet)
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
 
 
 def preview(df: DataFrame, n: int = 10) -> DataFrame:
