@@ -5,8 +5,6 @@ The tables hold no nulls, so each query dirties its input with the same SQL text
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from cleanloom.functions import text as X
 from cleanloom.operators.dedup import drop_exact_duplicates, fuzzy_deduplicate, fuzzy_pairs
 from cleanloom.operators.missing import handle_missing_values
 from cleanloom.operators.outliers import detect_outliers_iqr, detect_outliers_isolation_forest, treat_outliers
-from cleanloom.operators.profile import column_statistics, duplicate_rows, profile_dataframe, semantic_types, top_values
+from cleanloom.operators.profile import column_statistics, duplicate_rows, profile_dataframe, top_values
 from cleanloom.operators.rules import matching_rules, nearest
 from cleanloom.operators.standardize import normalize_missing_tokens, standardize_column_names, standardize_text, standardize_types
 from cleanloom.operators.validate import build_expectation_suite, expectation, validate_dataframe
@@ -104,19 +102,6 @@ def profile_top_values(spark, sf_dir):
     return spark.createDataFrame([(c, t["value"], t["count"]) for c, v in top.items() for t in v], "column_name string, value string, n long")
 
 
-@query("SELECT * FROM (VALUES ('event_id', 'identifier'), ('ts', 'datetime'), ('user_id', 'integer'), ('event_type', 'categorical'), ('value', 'float')) t(column_name, semantic_type)")
-def profile_semantic_types(spark, sf_dir):
-    df = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    return spark.createDataFrame(list(semantic_types(df, sample_size=None).items()), "column_name string, semantic_type string")
-
-
-@query("SELECT * FROM (VALUES ('kind', 'has_missing_values'), ('price', 'contains_outliers'), ('price', 'has_missing_values'), ('one', 'constant_column')) t(column_name, issue)")
-def profile_issues(spark, sf_dir):
-    df = dirty(spark, sf_dir, "lineitem", f"SELECT price, CASE WHEN l_orderkey % 3 = 0 THEN NULL WHEN l_orderkey % 3 = 1 THEN 'aa' ELSE 'bb' END AS kind, 'x' AS one FROM ({PRICES})")
-    _, report = profile_dataframe(df)
-    return spark.createDataFrame([(c, i) for c, p in report["columns"].items() for i in p["issues"]], "column_name string, issue string")
-
-
 @query(f"SELECT event_id, CASE WHEN lower(trim(kind)) IN ('n/a', 'unknown', '-', '?') THEN NULL ELSE kind END AS kind FROM ({TOKENS})")
 def missing_tokens(spark, sf_dir):
     return normalize_missing_tokens(dirty(spark, sf_dir, "events", TOKENS))[0]
@@ -171,12 +156,6 @@ def missing_knn(spark, sf_dir):
     return out.withColumn("s_acctbal", F.round("s_acctbal", 4))
 
 
-@query()
-def missing_iterative(spark, sf_dir):
-    df = dirty(spark, sf_dir, "lineitem", "SELECT l_orderkey, l_quantity, l_discount, CASE WHEN l_orderkey % 10 = 3 THEN NULL ELSE l_extendedprice END AS l_extendedprice FROM lineitem")
-    return handle_missing_values(df, strategy="iterative", columns=["l_extendedprice"])[0]
-
-
 @query("SELECT o_orderkey AS order_key, o_custkey AS cust_key, o_totalprice AS total_price, o_orderstatus AS total_price_2, o_orderpriority AS col_2024_priority FROM orders")
 def standardize_names(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
@@ -196,7 +175,11 @@ def standardize_text_lower(spark, sf_dir):
     return standardize_text(dirty(spark, sf_dir, "customer", TEXTS), case="lower")[0]
 
 
-@query()
+def _titled(c: str) -> str:
+    return f"array_to_string(list_transform(string_split(lower({c}), ' '), lambda w: concat(upper(w[1]), w[2:])), ' ')"
+
+
+@query(f"SELECT c_custkey, {_titled('a')} AS a, {_titled('b')} AS b FROM (SELECT c_custkey, {_SQUASHED.format(c='a')} AS a, {_SQUASHED.format(c='b')} AS b FROM ({TEXTS}))")
 def standardize_text_title(spark, sf_dir):
     return standardize_text(dirty(spark, sf_dir, "customer", TEXTS), case="title")[0]
 
@@ -233,7 +216,7 @@ def types_downcast(spark, sf_dir):
     return standardize_types(df, downcast=True)[0].select(F.col("p_partkey").cast("long").alias("p_partkey"), F.col("p_size").cast("int").alias("p_size"), F.round(F.col("p_retailprice").cast("double"), 2).alias("p_retailprice"))
 
 
-COPIES = "SELECT event_id, concat(CASE WHEN event_id % 2 = 0 THEN '  ' ELSE '' END, CASE WHEN event_id % 3 = 0 THEN upper(event_type) ELSE event_type END, ' ', CAST(user_id AS VARCHAR(20))) AS k FROM events"
+COPIES = "SELECT event_id, concat(CASE WHEN event_id % 2 = 0 THEN '  ' ELSE '' END, CASE WHEN event_id % 3 = 0 THEN upper(event_type) ELSE event_type END, ' ', CAST(user_id AS VARCHAR(20)), CASE WHEN event_id % 10 = 7 THEN concat('-', CAST(event_id AS VARCHAR(20))) ELSE '' END) AS k FROM events"
 
 
 def _exact(name: str, keep, sql: str):
@@ -256,21 +239,48 @@ def dedup_documents(spark, sf_dir):
 
 
 NAMES = "SELECT min(p_partkey) AS id, concat(p_name, CASE WHEN p_size % 5 = 0 THEN ' x' ELSE '' END) AS name FROM part GROUP BY 2"
+BRANDED = "SELECT min(p_partkey) AS id, concat(p_name, CASE WHEN p_size % 5 = 0 THEN ' x' ELSE '' END) AS name, p_brand AS brand FROM part GROUP BY 2, 3"
 
 
-@query()
+def _pairs_sql(source: str, block: str, least: float) -> str:
+    """Pairs (l, r, score) in a block: twice the longest common subsequence of the sorted words, over both lengths.
+
+    d holds a row of the recurrence for each pair of texts: the running maximum of what the cell above, or the one before it and
+    a match, gives.
+    """
+    return f"""
+        k AS (SELECT id, {block} AS block, array_to_string(list_sort(string_split(lower(name), ' ')), ' ') AS s FROM ({source})),
+        t AS (SELECT DISTINCT a.s AS x, b.s AS y FROM k a JOIN k b ON a.block = b.block AND a.id < b.id),
+        d AS (SELECT x, y, 0 AS i, list_transform(range(1, length(y) + 1), lambda j: 0) AS row FROM t UNION ALL
+            SELECT x, y, i + 1, list_transform(range(1, length(y) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda h: greatest(row[h], (CASE WHEN h > 1 THEN row[h - 1] ELSE 0 END) + CASE WHEN x[i + 1] = y[h] THEN 1 ELSE 0 END)))) FROM d WHERE i < length(x)),
+        m AS (SELECT x, y, 2.0 * row[length(y)] / (length(x) + length(y)) AS score FROM d WHERE i = length(x)),
+        p AS (SELECT a.id AS l, b.id AS r, m.score FROM k a JOIN k b ON a.block = b.block AND a.id < b.id JOIN m ON m.x = a.s AND m.y = b.s WHERE m.score >= {least} - 1e-12)"""
+
+
+_SURVIVORS = """
+        e AS (SELECT l AS u, r AS v FROM p UNION SELECT r, l FROM p), c AS (SELECT u AS id, u AS root FROM e UNION SELECT e.v, c.root FROM c JOIN e ON e.u = c.id),
+        g AS (SELECT id, min(root) AS root FROM c GROUP BY id)"""
+
+
+@query(f"WITH RECURSIVE {_pairs_sql(NAMES, 'substr(lower(name), 1, 4)', 0.8)} SELECT l, r, round(CAST(score AS DOUBLE), 6) AS score FROM p")
 def fuzzy_dedup_pairs(spark, sf_dir):
     df = spark.sql(NAMES.replace("FROM part", "FROM {t}"), t=table(spark, sf_dir, "part"))
     key = X.match_key([quoted("name")])
     return fuzzy_pairs(df.select("id", F.substring(key, 1, 4).alias("block"), X.token_sorted(key).alias("s")), 0.8).select("l", "r", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_pairs_sql(NAMES, 'substr(lower(name), 1, 4)', 0.88)}, {_SURVIVORS} SELECT id, name FROM ({NAMES}) WHERE id NOT IN (SELECT id FROM g WHERE id <> root)")
 def fuzzy_dedup(spark, sf_dir):
     df = spark.sql(NAMES.replace("FROM part", "FROM {t}"), t=table(spark, sf_dir, "part"))
     return fuzzy_deduplicate(df, columns=["name"], threshold=0.88, order_by=["id"])[0]
 
 
+@query(f"WITH RECURSIVE {_pairs_sql(BRANDED, 'brand', 0.9)}, {_SURVIVORS} SELECT id, name, brand FROM ({BRANDED}) WHERE id NOT IN (SELECT id FROM g WHERE id <> root)")
+def fuzzy_dedup_blocked(spark, sf_dir):
+    df = spark.sql(BRANDED.replace("FROM part", "FROM {t}"), t=table(spark, sf_dir, "part"))
+    return fuzzy_deduplicate(df, columns=["name"], threshold=0.9, blocking_keys=["brand"], order_by=["id"], max_block_size=10**9)[0]
+
+
 _FENCES = "f AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events), b AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM f)"
 
 
@@ -332,12 +342,32 @@ def validate_suite(spark, sf_dir):
     return spark.createDataFrame(rows, "place int, success boolean, unexpected long")
 
 
-@query()
+def _suite_sql(c: str, kind: str) -> str:
+    """The expectations of a column of customer, by what kind of column it is."""
+    each = [f"SELECT 'column_exists' AS expectation, '{c}' AS column_name, NULL::DOUBLE AS low, NULL::DOUBLE AS high, NULL::DOUBLE AS mostly, NULL::INTEGER AS n_values"]
+    each += [f"SELECT 'not_null', '{c}', NULL, NULL, 1.0, NULL", f"SELECT 'unique', '{c}', NULL, NULL, NULL, NULL FROM customer HAVING count({c}) > 20 AND count(DISTINCT {c}) >= 0.99 * count({c})"]
+    if kind == "number":
+        pad = f"0.1 * coalesce(nullif(max({c}) - min({c}), 0), nullif(abs(max({c})), 0), 1)"
+        tag = f"HAVING count(DISTINCT {c}) < count({c}) OR '{c}' = 'c_acctbal'"
+        each.append(f"SELECT 'between', '{c}', CASE WHEN min({c}) >= 0 THEN greatest(0, min({c}) - {pad}) ELSE min({c}) - {pad} END, max({c}) + {pad}, 0.99, NULL FROM customer {tag}")
+    if kind == "category":
+        each.append(f"SELECT 'in_set', '{c}', NULL, NULL, NULL, count(DISTINCT {c}) FROM customer")
+        each.append(f"SELECT 'value_lengths_between', '{c}', greatest(0, min(length({c})) - 2), 2 * max(length({c})), 0.99, NULL FROM customer")
+    return " UNION ALL ".join(each)
+
+
+@query(
+    "SELECT expectation, column_name, round(low, 4) AS low, round(high, 4) AS high, mostly, n_values, true AS success FROM (SELECT 'row_count_between' AS expectation, NULL AS column_name, greatest(1, count(*) // 2)::DOUBLE AS low, 2.0 * count(*)::DOUBLE AS high, NULL::DOUBLE AS mostly, NULL::INTEGER AS n_values FROM customer UNION ALL SELECT 'columns_match_set', NULL, NULL, NULL, NULL, 5 UNION ALL "
+    + " UNION ALL ".join(_suite_sql(c, k) for c, k in (("c_custkey", "number"), ("c_name", "name"), ("c_nationkey", "number"), ("c_acctbal", "number"), ("c_mktsegment", "category")))
+    + ")"
+)
 def suite_from_profile(spark, sf_dir):
     df = table(spark, sf_dir, "customer")
     _, profile = profile_dataframe(df)
     _, report = validate_dataframe(df, suite=build_expectation_suite(profile))
-    return spark.createDataFrame([(r["expectation_type"], r["kwargs"].get("column"), r["success"], json.dumps(r["kwargs"], sort_keys=True)) for r in report["results"]], "expectation string, column_name string, success boolean, kwargs string")
+    number = lambda v: None if v is None else round(float(v), 4)
+    rows = [(r["expectation_type"], a.get("column"), number(a.get("min_value")), number(a.get("max_value")), number(a.get("mostly")), len(s) if (s := a.get("value_set") or a.get("column_set")) else None, r["success"]) for r in report["results"] for a in (r["kwargs"],)]
+    return spark.createDataFrame(rows, "expectation string, column_name string, low double, high double, mostly double, n_values int, success boolean")
 
 
 RULES = [("r1", "price"), ("r2", "key"), ("r3", ".*"), ("r4", "nothing")]
@@ -371,8 +401,25 @@ def clip_then_median(spark, sf_dir):
     return handle_missing_values(out, strategy="median", columns=["price"])[0]
 
 
-@query()
-def pipeline_clean(spark, sf_dir):
-    df = dirty(spark, sf_dir, "orders", "SELECT o_orderkey AS `Order Key`, o_custkey AS custKey, CASE WHEN o_orderkey % 11 = 0 THEN 'N/A' ELSE concat('$', CAST(o_totalprice AS VARCHAR(20))) END AS `Total Price`, concat(' ', o_orderstatus, ' ') AS status FROM orders")
-    return CleaningPipeline(errors="raise", outlier_action="clip", missing_strategy="median", order_by=["Order Key"]).run(df)[0]
+RAW_ORDERS = "SELECT o_orderkey AS `Order Key`, o_custkey AS custKey, CASE WHEN o_orderkey % 11 = 0 THEN 'N/A' ELSE concat('$', CAST(o_totalprice AS VARCHAR(20))) END AS `Total Price`, concat(' ', o_orderstatus, ' ') AS status FROM orders"
+
+
+def _clipped(c: str) -> str:
+    return f"least(greatest(CAST({c} AS DOUBLE), f.{c}_lo), f.{c}_hi)"
+
+
+def _fence(c: str) -> str:
+    q = lambda p: f"quantile_cont(CAST({c} AS DOUBLE), {p})"
+    return f"{q(0.25)} - 1.5 * ({q(0.75)} - {q(0.25)}) AS {c}_lo, {q(0.75)} + 1.5 * ({q(0.75)} - {q(0.25)}) AS {c}_hi"
 
+
+@query(
+    f"""WITH d AS (SELECT o_orderkey AS order_key, o_custkey AS cust_key, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS total_price, trim(o_orderstatus) AS status FROM orders),
+        f AS (SELECT {', '.join(map(_fence, ('order_key', 'cust_key', 'total_price')))} FROM d),
+        c AS (SELECT {', '.join(f'{_clipped(c)} AS {c}' for c in ('order_key', 'cust_key'))}, CASE WHEN total_price IS NOT NULL THEN {_clipped('total_price')} END AS total_price, status FROM d, f)
+        SELECT order_key, cust_key, round(coalesce(total_price, (SELECT quantile_cont(total_price, 0.5) FROM c)), 4) AS total_price, status FROM c"""
+)
+def pipeline_clean(spark, sf_dir):
+    df = dirty(spark, sf_dir, "orders", RAW_ORDERS)
+    out, _ = CleaningPipeline(errors="raise", outlier_action="clip", missing_strategy="median", order_by=["Order Key"]).run(df)
+    return out.withColumn("total_price", F.round("total_price", 4))
