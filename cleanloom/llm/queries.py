@@ -79,7 +79,7 @@ def op9_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source to one and a half times their words."""
     mixed = mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "shards")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "draws")
 
 
 QUERIES = {
