@@ -31,8 +31,8 @@ shipped(_hashing.__name__)
 
 #: Stands for the end of a text.
 END = np.uint64(0x0DDC0FFEE0DDF00D)
-#: Words keep 64-bit hashes; longer n-grams are sent without so many low bits.
-DROPPED = np.uint64(8)
+#: Longer n-grams are sent with so many more bits than number the input's bytes: one in a million meets another by chance.
+SPARE_BITS = 20
 #: Input bytes of a block of documents: at least, and at most where blocks would else be more than MANY, as each sends to each.
 BLOCK_BYTES, MANY = (4 << 20, 32 << 20), 4096
 #: Tokens that a lane of the traversal reads; long texts are read in several lanes.
@@ -51,28 +51,28 @@ def _sequence(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
 
 
-def _ngrams(tokens: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For n from 2 to order: the positions at which an n-gram within one text ends, and the n-grams' hashes."""
+def _ngrams(tokens: np.ndarray, first: np.ndarray, order: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For n from 2 to order: the positions at which an n-gram within one text ends, and the n-grams' hashes of so many bits."""
     place = np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))
     out, h = [], tokens
     for n in range(2, order + 1):
         h = np.concatenate((np.zeros(1, np.uint64), mix(mix(h[:-1] + np.uint64(n)) ^ tokens[1:])))
         at = np.flatnonzero(place >= n - 1)
-        out.append((at, h[at] >> DROPPED))
+        out.append((at, h[at] >> np.uint64(64 - bits)))
     return out
 
 
 class _Block:
     """A block's distinct words and distinct longer n-grams, sorted by hash, and where each occurs."""
 
-    def __init__(self, block: pa.Table, order: int):
+    def __init__(self, block: pa.Table, order: int, bits: int = 64):
         self.tokens, self.first = _sequence([x or b"" for x in block["text"].cast(pa.binary()).to_pylist()])
-        self.grams = _ngrams(self.tokens, self.first, order)
-        self.words, self.word_index = np.unique(self.tokens, return_inverse=True)
-        self.order = order
+        self.grams = _ngrams(self.tokens, self.first, order, bits)
+        self.words, index = np.unique(self.tokens, return_inverse=True)
+        self.word_index, self.order = index.astype(np.int32), order
         longer = np.concatenate([np.zeros(0, np.uint64), *(h for _, h in self.grams)])
         self.longer, index = np.unique(longer, return_inverse=True)
-        self.index = np.split(index, np.cumsum([len(h) for _, h in self.grams])[:-1]) if self.grams else []
+        self.index = np.split(index.astype(np.int32), np.cumsum([len(h) for _, h in self.grams])[:-1]) if self.grams else []
 
 
 def _bounds(hashes: np.ndarray, shards: int, bits: int) -> np.ndarray:
@@ -85,15 +85,15 @@ def _cut(values: np.ndarray, bounds: np.ndarray, delta: bool = False) -> list[by
     return [packed(values[a:b], delta) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def _requests(order: int, shards: int):
+def _requests(order: int, bits: int, shards: int):
     def run(block: pa.Table) -> pa.Table:
-        b = _Block(block, order)
+        b = _Block(block, order, bits)
         train = np.repeat(~block["held_out"].to_numpy(), np.diff(b.first))
         words = np.bincount(b.word_index[train], minlength=len(b.words))
         longer = np.zeros(len(b.longer), np.int64)
         for (at, _), index in zip(b.grams, b.index, strict=True):
             longer += np.bincount(index[train[at]], minlength=len(longer))
-        by_word, by_gram = _bounds(b.words, shards, 64), _bounds(b.longer, shards, 64 - int(DROPPED))
+        by_word, by_gram = _bounds(b.words, shards, 64), _bounds(b.longer, shards, bits)
         return pa.table({
             "shard": pa.array(np.arange(shards, dtype=np.int32)),
             "block": pa.array(np.full(shards, block["block"][0].as_py(), np.int32)),
@@ -140,9 +140,9 @@ class Automaton:
         order, n_words = b.order, len(b.words)
         states = 1 + n_words + len(b.longer)
         self.n_words = n_words
-        self.fail, self.fail_weight = np.zeros(states, np.int64), np.zeros(states)
+        self.fail, self.fail_weight = np.zeros(states, np.int32), np.zeros(states)
         # for each order: its distinct n-grams that occur in training, one place where each ends, and the state of each
-        place = np.full((order + 1, len(b.tokens)), -1, np.int64)  # the state of the n-gram that ends here, -1 for none
+        place = np.full((order + 1, len(b.tokens)), -1, np.int32)  # the state of the n-gram that ends here, -1 for none
         place[0] = 0
         if order > 1:
             place[1] = np.where(words[b.word_index] > 0, 1 + b.word_index, -1)
@@ -165,12 +165,12 @@ class Automaton:
                 place[n][at] = np.where(count > 0, 1 + n_words + index, -1)
             some = np.flatnonzero(count > 0)
             one = some[np.unique(index[some], return_index=True)[1]]
-            keys.append(history[one] * n_words + b.word_index[at[one]])
+            keys.append(history[one].astype(np.int64) * n_words + b.word_index[at[one]])
             weights.append(np.log10(probability[at[one]]))
             targets.append(place[n][at[one]] if n < order else place[n - 1][at[one]])
         key = np.concatenate(keys)
         by = np.argsort(key)
-        self.key, self.weight, self.target = key[by], np.concatenate(weights)[by], np.concatenate(targets)[by]
+        self.key, self.weight, self.target = key[by], np.concatenate(weights)[by], np.concatenate(targets)[by].astype(np.int32)
 
     def read(self, words: np.ndarray, first: np.ndarray, warm: int) -> np.ndarray:
         """The log10 probability of each token of the texts (words by number, bounds of the texts).
@@ -184,14 +184,14 @@ class Automaton:
         begin = np.maximum(starts - warm, first[text])
         by = np.argsort(begin - ends, kind="stable")  # the longest lanes first
         begin, length, starts = begin[by], (ends - begin)[by], starts[by]
-        out, state = np.zeros(len(words)), np.zeros(len(starts), np.int64)
+        out, state = np.zeros(len(words)), np.zeros(len(starts), np.int32)
         for t in range(int(length[0]) if len(length) else 0):
             live = int(np.searchsorted(-length, -t, "left"))
             at = begin[:live] + t
             word, here, total = words[at], state[:live], np.zeros(live)
             waiting = np.arange(live)
             while len(waiting):
-                want = here[waiting] * self.n_words + word[waiting]
+                want = here[waiting] * np.int64(self.n_words) + word[waiting]
                 arc = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
                 hit = self.key[arc] == want
                 done, arc = waiting[hit], arc[hit]
@@ -205,9 +205,9 @@ class Automaton:
         return out
 
 
-def _scores(order: int, mus: tuple[float, ...]):
+def _scores(order: int, bits: int, mus: tuple[float, ...]):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        b = _Block(block, order)
+        b = _Block(block, order, bits)
         answers = answers.sort_by("shard")
         joint = lambda name: np.concatenate([np.zeros(0, np.uint64), *(unpacked(x) for x in answers[name].to_pylist())]).astype(np.int64)
         words, longer = joint("word_totals"), joint("gram_totals")
@@ -245,12 +245,13 @@ def lm_scores(docs: DataFrame, mus: tuple[float, ...] = (1000.0, 10.0), folds: i
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds == fold
     size = input_bytes(docs)
     blocks = max(1, -(-size // (block_bytes or min(max(BLOCK_BYTES[0], size // MANY), BLOCK_BYTES[1]))))
+    bits = min(64, SPARE_BITS + size.bit_length())
     spark = docs.sparkSession
     tasks = max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shards = blocks
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held_out.alias("held_out"))
     keyed = keyed.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(tasks, "block")
-    sent = keyed.groupBy("block").applyInArrow(_requests(order, shards), "shard int, block int, words binary, word_counts binary, grams binary, gram_counts binary")
+    sent = keyed.groupBy("block").applyInArrow(_requests(order, bits, shards), "shard int, block int, words binary, word_counts binary, grams binary, gram_counts binary")
     answers = sent.repartition(tasks, "shard").groupBy("shard").applyInArrow(_answers, "block int, shard int, word_totals binary, gram_totals binary, tokens long, types long")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return keyed.groupBy("block").cogroup(answers.repartition(tasks, "block").groupBy("block")).applyInArrow(_scores(order, tuple(mus)), schema)
+    return keyed.groupBy("block").cogroup(answers.repartition(tasks, "block").groupBy("block")).applyInArrow(_scores(order, bits, tuple(mus)), schema)
