@@ -1,16 +1,18 @@
 """Whole plans, sources, rules, streams."""
 
+import io
 import json
+import zipfile
+from datetime import datetime
 
 import pytest
 
 from cleanloom.operators.rules import RuleMemory, embed
 from cleanloom.plans.pipeline import CleaningPipeline
-from cleanloom.sources import demo_accounts, read_any
-from cleanloom.sources.files import write_csv
+from cleanloom.sources import demo_accounts, read_any, write_csv, write_excel, xlsx
 from cleanloom.streaming import clean_rows
 
-PEOPLE = [("Ann", 25.0, "$50,000", "2023-01-01"), ("Bob", None, "$60,000", "2023-02-01"), ("Ann", 25.0, "$50,000", "2023-01-01"), ("Cy", 150.0, "N/A", "invalid"), ("Di", 40.0, "(70,000)", "2023-05-01")]
+PEOPLE = [("Ida", 31.0, "£41,500", "2021-03-04"), ("Ida", 31.0, "£41,500", "2021-03-04"), ("Jo", 66.0, "?", "soon"), ("Kim", None, "£39,250", "2022-11-30"), ("Lu", 44.0, "(1,200)", "2020-07-09")]
 
 
 def people(spark):
@@ -56,6 +58,28 @@ def test_sources(spark, tmp_path):
         read_any(spark, "x.odd")
 
 
+def test_excel(spark, tmp_path):
+    """A round trip, and a workbook as other programs write it: shared texts, own date formats, gaps, columns of several kinds."""
+    rows = [(1, "a<b & c", 2.5, True, datetime(2024, 2, 29, 13, 30)), (None, " kept ", -1e-7, None, None), (3, None, None, False, datetime(1999, 12, 31))]
+    df = spark.createDataFrame(rows, "`n 1` long, t string, x double, b boolean, at timestamp_ntz").coalesce(1)
+    write_excel(df, path := str(tmp_path / "book.xlsx"))
+    back = read_any(spark, path)
+    assert back.dtypes == df.dtypes and [tuple(r) for r in back.collect()] == rows
+    sheet = f'<worksheet xmlns="{xlsx.MAIN}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row r="2"><c r="A2" s="1"><v>45351.5</v></c><c r="C2"><v>7</v></c></row><row r="3"><c r="C3" t="str"><v>x</v></c></row></sheetData></worksheet>'
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as book:
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{xlsx.MAIN}" xmlns:r="{xlsx.OFFICE}"><sheets><sheet name="S" sheetId="1" r:id="q"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{xlsx.PACKAGE}/relationships"><Relationship Id="q" Target="/xl/worksheets/s.xml"/></Relationships>')
+        book.writestr("xl/sharedStrings.xml", f'<sst xmlns="{xlsx.MAIN}"><si><t>day</t></si><si><r><t>wh</t></r><r><t>at</t></r></si></sst>')
+        book.writestr("xl/styles.xml", f'<styleSheet xmlns="{xlsx.MAIN}"><numFmts><numFmt numFmtId="170" formatCode="dd/mm/yyyy"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="170"/></cellXfs></styleSheet>')
+        book.writestr("xl/worksheets/s.xml", sheet)
+    (tmp_path / "other.xlsx").write_bytes(data.getvalue())
+    other = read_any(spark, str(tmp_path / "other.xlsx"))
+    assert other.columns == ["day", "column_2", "what"] and [tuple(r) for r in other.collect()] == [(datetime(2024, 2, 29, 12), None, "7"), (None, None, "x")]
+    with pytest.raises(Exception, match="sheet holds"):
+        write_excel(df, path, max_rows=2)
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([(" a  b ", 5.0), ("n/a", 500.0)], "t string, v double").write.parquet(str(tmp_path / "in"))
     stream = clean_rows(spark.readStream.schema("t string, v double").parquet(str(tmp_path / "in")), fences={"v": (0, 100)})
