@@ -20,8 +20,8 @@ from cleanloom.llm._common import lower_ascii, shipped
 
 shipped(__name__)
 
-#: Up to so many rules are gathered into one broadcast trie.
-MOST_RULES = 200_000
+#: Up to so many rules, of so many bytes together, are gathered into one broadcast trie.
+MOST_RULES, MOST_BYTES = 200_000, 16 << 20
 
 
 @dataclass
@@ -124,9 +124,9 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow", mos
     """
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     usable = rules.where("host is not null and verdict in ('allow', 'block')").select("verdict", lower_ascii(F.col("host")).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"))
-    found = usable.limit(most_rules + 1).collect()
-    if len(found) <= most_rules:
-        trie = UrlTrie([(r.verdict, r.rule_host, r.rule_path) for r in found])
+    size = usable.agg(F.count("*").alias("rules"), F.coalesce(F.sum(F.octet_length("rule_host") + F.octet_length("rule_path")), F.lit(0)).alias("bytes")).first()
+    if size.rules <= most_rules and size.bytes <= MOST_BYTES:
+        trie = UrlTrie([(r.verdict, r.rule_host, r.rule_path) for r in usable.collect()])
         return plain.mapInArrow(_judge(trie, default), "page_id long, host string, path string, rule string, verdict string")
     return joined_verdicts(plain, usable, default)
 
