@@ -1,23 +1,26 @@
 """Secret scan: fixed patterns, and character Markov models that tell random strings from ordinary identifiers.
 
 Two models of the same form are trained from labelled samples, one on random strings and one on ordinary identifiers: the
-probability of a character class given the character before it. A candidate's log-likelihood ratio per character, with a
-prior, decides whether it is a secret that no fixed pattern names.
+probability of a character given the one before it. A candidate's log-likelihood ratio per character is compared with a
+threshold, which is fitted as well: the least at which hardly any ordinary sample is taken for a secret.
 """
 
 from __future__ import annotations
 
 import hashlib
+import importlib
 import math
 import random
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleanloom.llm._common import shipped
+from cleanloom.llm._common import bounded_batches, shipped
 
 shipped(__name__)
 
@@ -28,48 +31,56 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: What the models judge: runs of so many characters that letters, digits and a few signs form.
 SHORTEST = 20
+#: Bits a character that a secret has at least: a string of 20 characters is then a thousand times likelier to be random.
+LEAST_BITS = 0.5
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Everyday parts from which sample identifiers are put together.
-_PARTS = (
-    "get set user name value count index table column row file path read write open close start stop first last next data "
-    "list item size length total number string array object class method function return result error message status "
-    "state event handler listener service client server request response header body content type format parse build "
-    "create update delete insert select query filter group order sort merge join split batch stream record field key map "
-    "node edge graph tree leaf root parent child model view control config option default custom global local public "
-    "private static final test check verify validate convert transform encode decode compress load save store cache "
-    "memory buffer queue stack time date hour minute second year month week day the and for with from that this have not"
-).split()
-
-
-def sample_identifiers(n: int = 4000, seed: int = 7) -> list[str]:
-    """Ordinary identifiers in the usual styles: joined words, camel case, snake case, paths, with and without a number."""
-    draw = random.Random(seed)
+#: Modules whose public names are the samples of ordinary identifiers.
+_MODULES = ("argparse", "asyncio", "collections", "concurrent.futures", "configparser", "datetime", "decimal", "email.message", "http.client", "http.server", "json", "logging.handlers", "multiprocessing", "os", "pathlib", "pickle", "smtplib", "socket", "sqlite3", "ssl", "subprocess", "tarfile", "tempfile", "threading", "unittest.mock", "urllib.request", "xml.dom.minidom", "zipfile")
+
+
+def ordinary_names() -> list[str]:
+    """The public names of some standard modules and of their classes, sorted."""
+    found = set()
+    for name in _MODULES:
+        module = importlib.import_module(name)
+        for k in dir(module):
+            found.add(k)
+            if isinstance(getattr(module, k, None), type):
+                found.update(dir(getattr(module, k)))
+    return sorted(k for k in found if not k.startswith("_"))
+
+
+def labelled_samples(n: int = 6000, seed: int = 7) -> list[tuple[str, int]]:
+    """(string, 1 for a random one, 0 for an ordinary identifier), n of each, the same at every call.
+
+    Random strings are drawn from the alphabets that keys have: hexadecimal, base 64, letters with digits. Ordinary ones
+    are names from programs, alone or joined as in snake case, camel case, paths and slugs, with and without numbers,
+    years, dates and versions.
+    """
+    draw, names = random.Random(seed), ordinary_names()
+    kinds = ("0123456789abcdef", _ALPHABET[:64], _ALPHABET[:62], _ALPHABET[:26] + _ALPHABET[52:62], _ALPHABET[26:62])
+    numbers = (lambda: str(draw.randrange(10)), lambda: str(draw.randrange(1900, 2030)), lambda: str(draw.randrange(10**6)), lambda: f"{draw.randrange(1990, 2030)}-{draw.randrange(1, 13):02}-{draw.randrange(1, 29):02}", lambda: f"v{draw.randrange(9)}")
     out = []
     for _ in range(n):
-        parts = [draw.choice(_PARTS) for _ in range(draw.randint(2, 6))]
+        out.append(("".join(draw.choices(draw.choice(kinds), k=draw.randint(16, 64))), 1))
+        parts = [draw.choice(names) for _ in range(draw.randint(2, 6))]
+        if draw.random() < 0.5:
+            parts.insert(draw.randrange(len(parts) + 1), draw.choice(numbers)())
         style = draw.randrange(5)
-        text = ("".join(parts), "_".join(parts), "-".join(parts), "".join(p.title() for p in parts), "/".join(parts))[style]
-        out.append(text + (str(draw.randrange(2030)) if draw.random() < 0.2 else ""))
+        out.append((("".join(parts), "_".join(parts).lower(), "-".join(parts).lower(), "".join(p[:1].upper() + p[1:] for p in parts), "/".join(parts))[style], 0))
     return out
 
 
-def sample_secrets(n: int = 4000, seed: int = 11) -> list[str]:
-    """Random strings as keys have them: hexadecimal, base 64, and letters with digits."""
-    draw = random.Random(seed)
-    kinds = ("0123456789abcdef", _ALPHABET[:64], _ALPHABET[:62], _ALPHABET[:26] + _ALPHABET[52:62], _ALPHABET[26:62])
-    return ["".join(draw.choices(draw.choice(kinds), k=draw.randint(16, 48))) for _ in range(n)]
-
-
 class MarkovRatio:
     """log2 P(random) - log2 P(ordinary) of a string, by first-order character models with add-one smoothing."""
 
-    def __init__(self, secrets: list[str], ordinary: list[str]):
+    def __init__(self, samples: list[tuple[str, int]], wrong: float = 0.001):
         tables = []
-        for samples in (secrets, ordinary):
+        for label in (1, 0):
             counts = {a: dict.fromkeys(_ALPHABET, 1.0) for a in "^" + _ALPHABET}
-            for text in samples:
+            for text in (t for t, x in samples if x == label):
                 before = "^"
                 for c in text:
                     if c in counts[before]:
@@ -78,6 +89,9 @@ class MarkovRatio:
             tables.append(counts)
         sums = [{a: sum(row.values()) for a, row in t.items()} for t in tables]
         self.weight = {a: {c: math.log2(tables[0][a][c] / sums[0][a]) - math.log2(tables[1][a][c] / sums[1][a]) for c in _ALPHABET} for a in "^" + _ALPHABET}
+        ordinary = sorted((self(t) for t, x in samples if not x and candidate(t)), reverse=True)
+        #: Bits a character from which a candidate is a secret: LEAST_BITS, or as many as at most a share `wrong` of the ordinary samples reaches.
+        self.least_bits = max(LEAST_BITS, ordinary[min(len(ordinary) - 1, int(wrong * len(ordinary)))]) if ordinary else LEAST_BITS
 
     def __call__(self, text: str) -> float:
         """Bits in favour of a random string, per character."""
@@ -88,9 +102,26 @@ class MarkovRatio:
         return total / len(text)
 
 
-def train(secrets: list[str] | None = None, ordinary: list[str] | None = None) -> MarkovRatio:
-    """The model from labelled samples; without any, from generated ones."""
-    return MarkovRatio(secrets or sample_secrets(), ordinary or sample_identifiers())
+def candidate(text: str) -> bool:
+    """Whether a string is one that the models judge: long, of their alphabet, with letters and digits."""
+    return _CANDIDATE.fullmatch(text) is not None and any(c.isdigit() for c in text) and any(c.isalpha() for c in text)
+
+
+def train(samples: list[tuple[str, int]] | None = None) -> MarkovRatio:
+    """The models and the threshold from labelled samples (string, 1 for a secret); without any, from labelled_samples()."""
+    return MarkovRatio(samples or labelled_samples())
+
+
+def quality(model: MarkovRatio, samples: list[tuple[str, int]]) -> tuple[float, float]:
+    """(precision, recall) of the model's verdicts on labelled candidates."""
+    found = [(model(t) >= model.least_bits, x) for t, x in samples if candidate(t)]
+    right = sum(f and x for f, x in found)
+    return right / max(1, sum(f for f, _ in found)), right / max(1, sum(x for _, x in found))
+
+
+def held_out(text: str) -> bool:
+    """A fifth of all strings, by a checksum; for measuring a model that was trained on the others."""
+    return zlib.crc32(text.encode()) % 5 == 0
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -103,21 +134,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def model_spans(text: str, model: MarkovRatio, least_bits: float) -> list[tuple[int, int]]:
-    """Candidates with both letters and digits whose ratio is least_bits a character or more."""
-    out = []
-    for m in _CANDIDATE.finditer(text):
-        x = m.group()
-        if not x.isalpha() and any(c.isdigit() for c in x) and any(c.isalpha() for c in x) and model(x) >= least_bits:
-            out.append((m.start(), m.end()))
-    return out
+def model_spans(text: str, model: MarkovRatio) -> list[tuple[int, int]]:
+    """Candidates whose ratio reaches the model's threshold."""
+    return [(m.start(), m.end()) for m in _CANDIDATE.finditer(text) if candidate(m.group()) and model(m.group()) >= model.least_bits]
+
+
+def _apart(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The spans, in order and without overlap among them, that overlap no base span."""
+    ends = []  # the furthest end of the base spans up to each
+    for _, _, e in base:
+        ends.append(max(e, ends[-1]) if ends else e)
+    starts = [s for s, _, _ in base]
+    return [(s, e) for s, e in spans if (k := bisect_left(starts, e)) == 0 or ends[k - 1] <= s]
 
 
 def _digest(spans) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, kind, end in spans)
 
 
-def _scan(model: MarkovRatio, least_bits: float):
+def _scan(model: MarkovRatio):
     names = (*KINDS, "markov")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +163,7 @@ def _scan(model: MarkovRatio, least_bits: float):
                 for k, column in enumerate(n):
                     column.append(sum(kind == k for _, kind, _ in base))
                 sha.append(hashlib.sha256(_digest((s, names[k], e) for s, k, e in base).encode()).hexdigest())
-                more = [(s, 3, e) for s, e in model_spans(text or "", model, least_bits) if not any(s < y and x < e for x, _, y in base)]
+                more = [(s, 3, e) for s, e in _apart(model_spans(text or "", model), base)]
                 spans.append(_digest((s, names[k], e) for s, k, e in sorted(base + more)))
             columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in n), pa.array(sha), pa.array(spans)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
@@ -136,13 +171,15 @@ def _scan(model: MarkovRatio, least_bits: float):
     return run
 
 
-def secret_spans(docs: DataFrame, model: MarkovRatio | None = None, least_bits: float = 1.0) -> DataFrame:
+def secret_spans(docs: DataFrame, model: MarkovRatio | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans for every row of docs (doc_id long, text string).
 
     spans lists kind:start:end in code points, the end exclusive, by start and then kind; the model's own finds have the
     kind markov and never overlap a fixed pattern's. base_sha256 is of the list without them. A null or empty text has no
-    spans. Rows that repeat are scanned one by one; an empty table gives an empty result; other columns are ignored.
+    spans; a text of any length is scanned whole. Rows that repeat are scanned one by one; an empty table gives an empty
+    result; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return narrow.mapInArrow(_scan(model or train(), least_bits), schema)
+    return narrow.mapInArrow(_scan(model or train()), schema)
