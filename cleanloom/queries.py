@@ -344,20 +344,20 @@ def validate_suite(spark, sf_dir):
 
 def _suite_sql(c: str, kind: str) -> str:
     """The expectations of a column of customer, by what kind of column it is."""
-    each = [f"SELECT 'column_exists' AS expectation, '{c}' AS column_name, NULL::DOUBLE AS low, NULL::DOUBLE AS high, NULL::DOUBLE AS mostly, NULL::INTEGER AS n_values"]
-    each += [f"SELECT 'not_null', '{c}', NULL, NULL, 1.0, NULL", f"SELECT 'unique', '{c}', NULL, NULL, NULL, NULL FROM customer HAVING count({c}) > 20 AND count(DISTINCT {c}) >= 0.99 * count({c})"]
+    each = [f"SELECT 'column_exists' AS expectation, '{c}' AS column_name, NULL::DOUBLE AS low, NULL::DOUBLE AS high, NULL::DOUBLE AS mostly, NULL::INTEGER AS n_values, true AS success"]
+    each += [f"SELECT 'not_null', '{c}', NULL, NULL, 1.0, NULL, true", f"SELECT 'unique', '{c}', NULL, NULL, NULL, NULL, count(DISTINCT {c}) = count({c}) FROM customer HAVING count({c}) > 20 AND count(DISTINCT {c}) >= 0.99 * count({c})"]
     if kind == "number":
         pad = f"0.1 * coalesce(nullif(max({c}) - min({c}), 0), nullif(abs(max({c})), 0), 1)"
         tag = f"HAVING count(DISTINCT {c}) < count({c}) OR '{c}' = 'c_acctbal'"
-        each.append(f"SELECT 'between', '{c}', CASE WHEN min({c}) >= 0 THEN greatest(0, min({c}) - {pad}) ELSE min({c}) - {pad} END, max({c}) + {pad}, 0.99, NULL FROM customer {tag}")
+        each.append(f"SELECT 'between', '{c}', CASE WHEN min({c}) >= 0 THEN greatest(0, min({c}) - {pad}) ELSE min({c}) - {pad} END, max({c}) + {pad}, 0.99, NULL, true FROM customer {tag}")
     if kind == "category":
-        each.append(f"SELECT 'in_set', '{c}', NULL, NULL, NULL, count(DISTINCT {c}) FROM customer")
-        each.append(f"SELECT 'value_lengths_between', '{c}', greatest(0, min(length({c})) - 2), 2 * max(length({c})), 0.99, NULL FROM customer")
+        each.append(f"SELECT 'in_set', '{c}', NULL, NULL, NULL, count(DISTINCT {c})::INTEGER, true FROM customer")
+        each.append(f"SELECT 'value_lengths_between', '{c}', greatest(0, min(length({c})) - 2), 2 * max(length({c})), 0.99, NULL, true FROM customer")
     return " UNION ALL ".join(each)
 
 
 @query(
-    "SELECT expectation, column_name, round(low, 4) AS low, round(high, 4) AS high, mostly, n_values, true AS success FROM (SELECT 'row_count_between' AS expectation, NULL AS column_name, greatest(1, count(*) // 2)::DOUBLE AS low, 2.0 * count(*)::DOUBLE AS high, NULL::DOUBLE AS mostly, NULL::INTEGER AS n_values FROM customer UNION ALL SELECT 'columns_match_set', NULL, NULL, NULL, NULL, 5 UNION ALL "
+    "SELECT expectation, column_name, round(low, 4) AS low, round(high, 4) AS high, mostly, n_values, success FROM (SELECT 'row_count_between' AS expectation, NULL AS column_name, greatest(1, count(*) // 2)::DOUBLE AS low, 2.0 * count(*)::DOUBLE AS high, NULL::DOUBLE AS mostly, NULL::INTEGER AS n_values, true AS success FROM customer UNION ALL SELECT 'columns_match_set', NULL, NULL, NULL, NULL, 5, true UNION ALL "
     + " UNION ALL ".join(_suite_sql(c, k) for c, k in (("c_custkey", "number"), ("c_name", "name"), ("c_nationkey", "number"), ("c_acctbal", "number"), ("c_mktsegment", "category")))
     + ")"
 )

@@ -64,7 +64,7 @@ def _read_excel(spark: SparkSession, path: str) -> DataFrame:
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """CSV with a header and without row ids; one file only on request, as it takes one task."""
     out = df.drop(ROW_ID)
-    (out.coalesce(1) if single_file else out).write.mode("overwrite").option("header", True).csv(path)
+    (out.coalesce(1) if single_file else out).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_excel(df: DataFrame, path: str, sheet: str = "CleanedData", max_rows: int = 1_048_575) -> None:
