@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cleanloom.llm._common import table
 from cleanloom.llm.cap_filters import cap_filter_links
-from cleanloom.llm.compression_quality import fit, quality_scores, training_sample
+from cleanloom.llm.compression_quality import fit, quality_scores
 from cleanloom.llm.decontamination import decontamination_report
 from cleanloom.llm.jaccard_join import jaccard_components
 from cleanloom.llm.line_dedup import drop_repeated_lines
@@ -36,7 +36,7 @@ def learnable() -> Column:
 def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality from dictionaries learnt from two thirds of the labels."""
     docs = table(spark, sf_dir, "documents")
-    model = fit(training_sample(docs, table(spark, sf_dir, "labels"), learnable()))
+    model = fit(docs, table(spark, sf_dir, "labels"), learnable())
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return quality_scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
