@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cleanloom.llm._common import cut, table
-from cleanloom.llm.compression_quality import fit, kept_by_quality, training_sample
+from cleanloom.llm.compression_quality import fit, kept_by_quality
 from cleanloom.llm.decontamination import drop_contaminated
 from cleanloom.llm.jaccard_join import drop_near_copies
 from cleanloom.llm.line_dedup import drop_repeated_lines
@@ -16,7 +16,7 @@ from cleanloom.llm.queries import learnable
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier takes for good ones; it learns from two thirds of the labels."""
-    model = fit(training_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learnable()))
+    model = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learnable())
     return kept_by_quality(docs, model)
 
 
@@ -36,9 +36,9 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes: doc_id, source, size, copies, taken words and output shards."""
+    """The documents that the mix takes: doc_id, source, size, copies, taken words and places in the output shards."""
     mixed = mix(docs, weights=(5, 2, 1), share=1.5, most=2.0).where("copies > 0")
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "shards")
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "draws")
 
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_copies", near_copies), ("decontamination", benchmark), ("mixture", mixture)]
