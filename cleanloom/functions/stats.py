@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cleanloom.core import quoted
 
+#: Accuracy of the sketch that brackets quantiles, and how far on either side its ends are taken, as a share of all values.
+ACCURACY, NEAR = 20_000, 1e-4
+
 
 def finite(c: Column) -> Column:
     """c as a double, null where it is not a finite number."""
@@ -36,43 +38,46 @@ def distinct_counts(df: DataFrame, values: dict[str, Column]) -> dict[str, int]:
 def quantiles(df: DataFrame, values: dict[str, Column], shares: tuple[float, ...], exact: bool = True) -> dict[tuple, float | int | None]:
     """(name, share): the quantile of each value, by linear interpolation between neighbours; (name, "n"): how many there are.
 
-    The exact form counts each distinct value, deals the counts by ranges and looks up the ranks that are needed in their
-    ranges, so that no task holds all values. The other form is one aggregation of bounded size.
+    A sketch of bounded size brackets each quantile; the exact form then counts the values within the brackets, a few in
+    ten thousand, and those below, and looks the ranks up among them. So rows are read twice and hardly any is shuffled. A bracket
+    that lacks a rank is widened, in the end to all values.
     """
     names = list(values)
     if not names:
         return {}
+    e = {k: v.cast("double") for k, v in values.items()}
+    ends = [x for p in shares for x in (p, max(0.0, p - NEAR), min(1.0, p + NEAR))]
+    rough = one_row(df, {(k, "n"): F.count(v) for k, v in e.items()} | {(k, "at"): F.percentile_approx(v, F.array(*map(F.lit, ends)), F.lit(ACCURACY)) for k, v in e.items()})
+    n = {k: rough[k, "n"] for k in names}
+    out: dict[tuple, float | int | None] = {(k, "n"): n[k] for k in names} | {(k, p): None for k in names for p in shares}
+    full = [k for k in names if n[k]]
     if not exact:
-        got = one_row(df, {(k, "n"): F.count(e) for k, e in values.items()} | {(k, p): F.percentile_approx(e, F.lit(p), F.lit(10000)).cast("double") for k, e in values.items() for p in shares})
-        return got
-    counts = cells(df, {k: e.cast("double") for k, e in values.items()}).groupBy("c", "v").agg(F.count("*").alias("n"))
-    placed = counts.repartitionByRange("c", "v").withColumn("part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        parts = placed.groupBy("c", "part").agg(F.sum("n").alias("n"), F.min("v").alias("least")).orderBy("c", "least").collect()
-        total = {i: sum(r.n for r in parts if r.c == i) for i in range(len(names))}
-        ranks = {(i, k) for i, n in total.items() if n for p in shares for k in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}
-        wanted, before = [], dict.fromkeys(total, 0)
-        for r in parts:
-            wanted += [(r.c, r.part, k, k - before[r.c]) for i, k in ranks if i == r.c and before[r.c] <= k < before[r.c] + r.n]
-            before[r.c] += r.n
-        if not wanted:
-            return {(k, p): None for k in names for p in shares} | {(k, "n"): 0 for k in names}
-        few = F.broadcast(df.sparkSession.createDataFrame(wanted, "c int, part int, rank long, place long"))
-        upto = F.sum("n").over(Window.partitionBy("c", "part").orderBy("v"))
-        found = placed.join(few.select("c", "part").distinct(), ["c", "part"], "left_semi").withColumn("upto", upto).join(few, ["c", "part"]).where("place >= upto - n and place < upto")
-        at = {(r.c, r["rank"]): r.v for r in found.collect()}
-    finally:
-        placed.unpersist()
-    out: dict[tuple, float | int | None] = {(names[i], "n"): n for i, n in total.items()}
-    for i, name in enumerate(names):
-        for p in shares:
-            place = (total[i] - 1) * p
-            low = at.get((i, math.floor(place))) if total[i] else None
-            high = at.get((i, math.ceil(place))) if total[i] else None
-            out[name, p] = None if low is None else low if low == high else low + (high - low) * (place - math.floor(place))
+        return out | {(k, p): rough[k, "at"][3 * j] for k in full for j, p in enumerate(shares)}
+    # not-a-number is the greatest of all values, so that it leaves a bracket open
+    brackets = {(k, p): (rough[k, "at"][3 * j + 1] if p > NEAR else -math.inf, rough[k, "at"][3 * j + 2] if p < 1 - NEAR else math.nan) for k in full for j, p in enumerate(shares)}
+    while brackets:
+        inside = {f"{k} {p}": F.when(e[k] < lo, F.lit(-math.inf)).when(e[k] <= hi, e[k]) for (k, p), (lo, hi) in brackets.items()}
+        places = F.array(*(F.array(*(F.lit(r) for r in _ranks(n[k], p))) for k, p in brackets))
+        counts = cells(df, inside).groupBy("c", "v").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("c").orderBy("v"))
+        found = counts.withColumn("upto", upto).withColumn("ranks", F.filter(F.get(places, F.col("c")), lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))).where("size(ranks) > 0")
+        at = {(r.c, k): r.v for r in found.collect() for k in r.ranks}
+        wider = {}
+        for i, ((k, p), (lo, hi)) in enumerate(brackets.items()):
+            low, high = (at.get((i, r)) for r in _ranks(n[k], p))
+            if low is None or high is None or (lo > -math.inf and -math.inf in (low, high)):
+                wider[k, p] = (-math.inf, math.nan)
+            else:
+                place = (n[k] - 1) * p
+                out[k, p] = low if low == high else low + (high - low) * (place - math.floor(place))
+        brackets = wider
     return out
 
 
+def _ranks(n: int, p: float) -> tuple[int, int]:
+    return math.floor((n - 1) * p), math.ceil((n - 1) * p)
+
+
 def sample_skewness(c: Column) -> Column:
     n = F.count(c).cast("double")
     return F.when(n <= 2, 0.0).otherwise(F.skewness(c) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))

@@ -85,15 +85,17 @@ class Forest:
         return table[:, 0].astype(int), table[:, 1], table[:, 2].astype(int), table[:, 3].astype(int), table[:, 4]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        depth = np.zeros(len(x))
+        """Each row goes down every tree; a leaf leads to itself, so that all rows take the same number of steps."""
+        flat, first = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+        steps, depth = math.ceil(math.log2(max(2, self.psi))), np.zeros(len(x))
         for feature, split, left, right, length in self.trees:
-            at = np.zeros(len(x), int)
-            live = np.arange(len(x))
-            while len(live):
-                f = feature[at[live]]
-                live, f = live[f >= 0], f[f >= 0]
-                here = at[live]
-                at[live] = np.where(x[live, f] < split[here], left[here], right[here])
+            here = np.arange(len(feature))
+            leaf = feature < 0
+            f, limit = np.where(leaf, 0, feature), np.where(leaf, -np.inf, split)
+            child = np.stack((np.where(leaf, here, right), np.where(leaf, here, left)), axis=1).ravel()
+            at = np.zeros(len(x), np.int64)
+            for _ in range(steps):
+                at = child[2 * at + (flat[first + f[at]] < limit[at])]
             depth += length[at]
         return 2.0 ** (-depth / len(self.trees) / max(self.path(self.psi), 1e-12))
 

@@ -96,7 +96,7 @@ def standardize_types(
 ) -> tuple[DataFrame, dict]:
     """Text columns take the first of boolean, numeric and datetime that enough of their values parse as.
 
-    One job probes all columns, one counts distinct values, one cells that do not parse; the conversion is a projection. Other
+    One job probes all columns, one counts the distinct values of those that stay text; the conversion is a projection. Other
     text of few distinct values is marked as a category in the column's metadata. All rows are probed; an
     inference_sample_size limits that to so many rows, drawn by a seeded hash.
     """
@@ -104,35 +104,37 @@ def standardize_types(
     named = resolve_columns(df, columns)
     texts = [c for c in named if is_text(kinds[c])]
     sample = df if inference_sample_size is None else with_row_id(df).orderBy(F.xxhash64(ROW_ID, F.lit(seed)), ROW_ID).limit(inference_sample_size)
-    got = dict.fromkeys(((c, k) for c in texts for k in ("boolean", "numeric", "datetime", "zeros", "digits", "n", "unique")))
+    got = dict.fromkeys(((c, k) for c in texts for k in ("n", "full", "boolean", "numeric", "datetime", "zeros", "digits")), 0)
     if texts:
-        v = F.when(X.strip(F.col("v")) != "", F.col("v"))
-        share = lambda e: F.avg(F.when(F.col("v").isNotNull(), e.isNotNull().cast("double")))
+        v = F.col("v")
         probes = {
-            "boolean": share(X.parse_boolean(F.col("v"))),
-            "numeric": share(X.parse_number(F.col("v"))),
-            "datetime": share(X.parse_datetime(F.col("v"), datetime_format, dayfirst)),
-            "zeros": F.coalesce(F.bool_or(X.strip(F.col("v")).rlike(r"^0\d+$")), F.lit(False)),
-            "digits": F.avg(X.strip(F.col("v")).rlike(r"^\d+$").cast("double")),
             "n": F.count("*"),
+            "full": F.count_if(X.strip(v) != ""),
+            "boolean": F.count(X.parse_boolean(v)),
+            "numeric": F.count(X.parse_number(v)),
+            "datetime": F.count(X.parse_datetime(v, datetime_format, dayfirst)),
+            "zeros": F.count_if(X.strip(v).rlike(r"^0\d+$")),
+            "digits": F.count_if(X.strip(v).rlike(r"^\d+$")),
         }
-        for r in cells(sample, {c: quoted(c) for c in texts}).select("c", v.alias("v")).groupBy("c").agg(*(e.alias(k) for k, e in probes.items())).collect():
+        for r in cells(sample, {c: quoted(c) for c in texts}).groupBy("c").agg(*(e.alias(k) for k, e in probes.items())).collect():
             got |= {(texts[r.c], k): x for k, x in r.asDict().items() if k != "c"}
-        if category_threshold is not None:
-            got |= {(c, "unique"): n for c, n in distinct_counts(df, {c: quoted(c) for c in texts}).items()}
-            rows = df.count()
-    new, chosen, categories = {}, {}, []
+    new, chosen = {}, {}
     for c in texts:
-        ratio = lambda k, c=c: got[c, k] or 0.0
+        ratio = lambda k, c=c: got[c, k] / got[c, "full"] if got[c, "full"] else 0.0
         if convert_boolean and ratio("boolean") >= min_match_ratio:
             chosen[c], new[c] = "boolean", X.parse_boolean(quoted(c))
         elif convert_numeric and ratio("numeric") >= min_match_ratio and not (preserve_leading_zeros and got[c, "zeros"]):
             chosen[c], new[c] = "numeric", X.parse_number(quoted(c), percent_to_fraction)
         elif convert_datetime and ratio("datetime") >= min_match_ratio and ratio("digits") <= 0.5:
             chosen[c], new[c] = "datetime", X.parse_datetime(quoted(c), datetime_format, dayfirst)
-        elif category_threshold is not None and got[c, "unique"] and got[c, "unique"] / rows <= category_threshold:
-            categories.append(c)
-    lost = one_row(df, {(c,): F.count_if(quoted(c).isNotNull() & e.isNull()) for c, e in new.items()})
+    rest, categories = [c for c in texts if c not in chosen], []
+    if category_threshold is not None and rest:
+        rows = df.count()
+        categories = [c for c, n in distinct_counts(df, {c: quoted(c) for c in rest}).items() if 0 < n <= category_threshold * rows]
+    if sample is df:  # the probes have counted all cells
+        lost = {(c,): got[c, "n"] - got[c, kind] for c, kind in chosen.items()}
+    else:
+        lost = one_row(df, {(c,): F.count_if(quoted(c).isNotNull() & e.isNull()) for c, e in new.items()})
     numbers = [c for c in named if downcast and is_number(kinds[c]) and not isinstance(kinds[c], T.DecimalType)]
     ends = one_row(df, {(c, k): f(quoted(c)) for c in numbers for k, f in (("lo", F.min), ("hi", F.max))} | {(c, "err"): F.max(F.abs(quoted(c) - quoted(c).cast("float").cast("double"))) for c in numbers if isinstance(kinds[c], T.DoubleType)})
     shrunk = {}
