@@ -27,12 +27,20 @@ def cells(df: DataFrame, values: dict[str, Column], keep: tuple[str, ...] = ())
 
 
 def distinct_counts(df: DataFrame, values: dict[str, Column]) -> dict[str, int]:
-    """How many distinct values each has; repeats go before the shuffle, and no value is held with all others."""
+    """How many distinct values each has; repeats go before the shuffle, and no value is held with all others.
+
+    Numbers that a double holds exactly are compared as such, all else by its text.
+    """
     if not values:
         return {}
-    as_text = {k: (e + F.lit(0.0) if t in ("float", "double") else F.base64(e) if t == "binary" else e).cast("string") for (k, e), t in zip(values.items(), (t for _, t in df.select(*values.values()).dtypes), strict=True)}
-    found = cells(df, as_text).distinct().groupBy("c").agg(F.count("*").alias("n")).collect()
-    return dict.fromkeys(values, 0) | {list(values)[r.c]: r.n for r in found}
+    kinds = dict(zip(values, (t for _, t in df.select(*values.values()).dtypes), strict=True))
+    numbers = {k: e.cast("double") for k, e in values.items() if kinds[k] in ("double", "float", "int", "smallint", "tinyint")}
+    texts = {k: (F.base64(e) if kinds[k] == "binary" else e).cast("string") for k, e in values.items() if k not in numbers}
+    out = dict.fromkeys(values, 0)
+    for part in filter(None, (numbers, texts)):
+        for r in cells(df, part).distinct().groupBy("c").agg(F.count("*").alias("n")).collect():
+            out[list(part)[r.c]] = r.n
+    return out
 
 
 def quantiles(df: DataFrame, values: dict[str, Column], shares: tuple[float, ...], exact: bool = True) -> dict[tuple, float | int | None]:
@@ -56,16 +64,16 @@ def quantiles(df: DataFrame, values: dict[str, Column], shares: tuple[float, ...
     # not-a-number is the greatest of all values, so that it leaves a bracket open
     brackets = {(k, p): (rough[k, "at"][3 * j + 1] if p > NEAR else -math.inf, rough[k, "at"][3 * j + 2] if p < 1 - NEAR else math.nan) for k in full for j, p in enumerate(shares)}
     while brackets:
-        inside = {f"{k} {p}": F.when(e[k] < lo, F.lit(-math.inf)).when(e[k] <= hi, e[k]) for (k, p), (lo, hi) in brackets.items()}
-        places = F.array(*(F.array(*(F.lit(r) for r in _ranks(n[k], p))) for k, p in brackets))
-        counts = cells(df, inside).groupBy("c", "v").agg(F.count("*").alias("n"))
+        asked = {k: [(p, ends) for (x, p), ends in brackets.items() if x == k] for k in full if any(x == k for x, _ in brackets)}
+        counts = cells(df, {k: _bracketed(e[k], [ends for _, ends in v]) for k, v in asked.items()}).groupBy("c", "v").agg(F.count("*").alias("n"))
+        places = F.array(*(F.array(*(F.lit(r) for r in sorted({r for p, _ in v for r in _ranks(n[k], p)}))) for k, v in asked.items()))
         upto = F.sum("n").over(Window.partitionBy("c").orderBy("v"))
         found = counts.withColumn("upto", upto).withColumn("ranks", F.filter(F.get(places, F.col("c")), lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))).where("size(ranks) > 0")
-        at = {(r.c, k): r.v for r in found.collect() for k in r.ranks}
+        at = {(list(asked)[r.c], rank): r.v for r in found.collect() for rank in r.ranks}
         wider = {}
-        for i, ((k, p), (lo, hi)) in enumerate(brackets.items()):
-            low, high = (at.get((i, r)) for r in _ranks(n[k], p))
-            if low is None or high is None or (lo > -math.inf and -math.inf in (low, high)):
+        for (k, p), (lo, hi) in brackets.items():
+            low, high = (at.get((k, r)) for r in _ranks(n[k], p))
+            if any(v is None or v < lo or v > hi for v in (low, high)):
                 wider[k, p] = (-math.inf, math.nan)
             else:
                 place = (n[k] - 1) * p
@@ -74,6 +82,22 @@ def quantiles(df: DataFrame, values: dict[str, Column], shares: tuple[float, ...
     return out
 
 
+def _bracketed(v: Column, brackets: list[tuple[float, float]]) -> Column:
+    """v within the brackets; between them one value for all, which keeps their order; null beyond the last."""
+    merged: list[tuple[float, float]] = []
+    for lo, hi in sorted(brackets, key=lambda b: b[0]):
+        if merged and not lo > merged[-1][1]:
+            lo, last = merged.pop()
+            hi = math.nan if math.isnan(hi) or math.isnan(last) else max(hi, last)
+        merged.append((lo, hi))
+    out, below = None, -math.inf
+    for lo, hi in merged:
+        gap = F.lit(below if below == -math.inf else below / 2 + lo / 2)
+        out = (F.when(v < lo, gap) if out is None else out.when(v < lo, gap)).when(v <= hi, v)
+        below = hi
+    return out
+
+
 def _ranks(n: int, p: float) -> tuple[int, int]:
     return math.floor((n - 1) * p), math.ceil((n - 1) * p)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import sys
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -100,18 +102,21 @@ class Forest:
         return 2.0 ** (-depth / len(self.trees) / max(self.path(self.psi), 1e-12))
 
 
-def _forest_mask(df: DataFrame, named: list[str], contamination: float, n_estimators: int, random_state: int, sample_rows: int = FOREST_SAMPLE) -> tuple[DataFrame, Column | None, Column | None, dict]:
+def _forest_mask(df: DataFrame, named: list[str], contamination: float, n_estimators: int, random_state: int, sample_rows: int = FOREST_SAMPLE, scale: bool = True, impute_missing: bool = True) -> tuple[DataFrame, Column | None, Column | None, dict]:
     """df with a column of scores, which are computed once and stored; the row mask and the score in it, or None with the reason."""
-    if not 0 < contamination <= 0.5:
-        raise ValueError("contamination must be in (0, 0.5]")
+    if not 0 < contamination < 0.5:
+        raise ValueError("contamination must be in (0, 0.5)")
     if not named:
         return df, None, None, {"status": "skipped", "reason": "no numeric columns"}
     value = [quoted(c).try_cast("double") for c in named]
-    present = F.coalesce(*value).isNotNull()
+    present = F.coalesce(*value).isNotNull() if impute_missing else reduce(and_, (v.isNotNull() for v in value))
     if one_row(df, {("n",): F.count_if(present)})["n",] < 10:
         return df, None, None, {"status": "skipped", "reason": "too few rows"}
     middle = quantiles(df, {c: finite(quoted(c)) for c in named}, (0.5,))
     filled = [F.coalesce(finite(quoted(c)), F.lit(middle[c, 0.5] if middle[c, 0.5] is not None else 0.0)) for c in named]
+    if scale:
+        spread = one_row(df.where(present), {(i, k): f(e) for i, e in enumerate(filled) for k, f in (("mean", F.avg), ("std", F.stddev_pop))})
+        filled = [(e - F.lit(spread[i, "mean"])) / F.lit(spread[i, "std"] or 1.0) for i, e in enumerate(filled)]
     points = df.where(present).select(*(e.alias(f"x{i}") for i, e in enumerate(filled)))
     sample = points.orderBy(F.xxhash64(*points.columns, F.lit(random_state)), *points.columns).limit(sample_rows).collect()
     forest = Forest(np.array(sample, dtype=float), n_estimators, random_state)
@@ -135,9 +140,10 @@ def detect_outliers_isolation_forest(
     """A boolean row mask is_outlier, with anomaly_score if asked; rows without any value are never outliers.
 
     Trees are grown on the driver from at most sample_rows rows, drawn by a hash, and score all rows in Arrow batches.
-    Splits follow the axes, so scaling does not change them; the arguments scale and impute_missing are accepted for that.
+    With scale the columns have mean 0 and standard deviation 1. With impute_missing a missing value counts as the
+    column's median; without, rows that lack any value are neither sampled nor outliers.
     """
-    df, mask, score, report = _forest_mask(df, resolve_columns(df, columns, is_number), contamination, n_estimators, random_state, sample_rows)
+    df, mask, score, report = _forest_mask(df, resolve_columns(df, columns, is_number), contamination, n_estimators, random_state, sample_rows, scale, impute_missing)
     ids = [c for c in df.columns if c == "__row_id"]
     if mask is None:
         return df.select(*ids, F.lit(False).alias("is_outlier")), report | {"n_outliers": 0}
