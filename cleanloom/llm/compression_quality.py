@@ -23,8 +23,8 @@ from cleanloom.llm._common import bounded_batches, removed, shipped, written
 
 shipped(__name__)
 
-#: Bytes of a piece; bytes of a dictionary; zstandard's level.
-PIECE, DICTIONARY, LEVEL = 2048, 110 << 10, 3
+#: Bytes of a piece; bytes of a dictionary at most, and what it is of the pieces that it is trained on; zstandard's level.
+PIECE, DICTIONARY, PART, LEVEL = 2048, 400 << 10, 0.25, 3
 #: Of each class, at most so many labelled documents are used for the fit, and so many pieces of them for its dictionary.
 FIT_DOCS, FIT_PIECES = 3000, 6000
 
@@ -66,7 +66,7 @@ def differences(texts: Iterable[bytes], good: bytes, bad: bytes) -> np.ndarray:
 def _dictionary(pieces: list[bytes]) -> bytes:
     """A trained dictionary; the pieces themselves where the library finds them too few to train on."""
     try:
-        return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes()
+        return zstandard.train_dictionary(min(DICTIONARY, int(PART * sum(map(len, pieces)))), pieces).as_bytes()
     except zstandard.ZstdError:
         return b"".join(pieces)[:DICTIONARY] or b" " * 8
 
