@@ -157,6 +157,13 @@ def profile_counts(spark, sf_dir):
     return spark.createDataFrame([(got["day", "n_future"], got["t", "n_empty"], got["t", "n_null_tokens"] - got["t", "n_empty"])], "n_future long, n_empty long, n_null_tokens long")
 
 
+@query("SELECT round((sum(strlen(o_orderstatus)) + sum(strlen(o_orderpriority)) + 8 * (count(o_orderkey) + count(o_custkey) + count(o_totalprice) + count(o_orderdate)))::DOUBLE / 1e6, 6) AS data_mb FROM orders")
+def profile_footprint(spark, sf_dir):
+    """The bytes that the values take."""
+    _, report = profile_dataframe(table(spark, sf_dir, "orders"))
+    return spark.createDataFrame([(report["overview"]["data_mb"],)], "data_mb double")
+
+
 @query("SELECT least(1000, count(*)) AS sample_rows, count(*) > 1000 AS sampled, count(*) AS n_rows FROM orders")
 def profile_sample(spark, sf_dir):
     """A profile of a seeded sample of a fixed number of rows."""
