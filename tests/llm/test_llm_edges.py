@@ -8,6 +8,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+from cleanloom.llm import _components
 from cleanloom.llm.cap_filters import cap_filter_links
 from cleanloom.llm.decontamination import NUMBER_WORDS, UNITS, contaminated, decontamination_report, drop_contaminated
 from cleanloom.llm.url_filter import url_verdicts
@@ -244,3 +245,23 @@ def test_run_equals_its_stages(spark, tables):
         docs = stage(spark, docs, tables)
     key = lambda df: sorted((r.doc_id, r.copies, r.taken) for r in df.collect())
     assert key(corpus_pipeline.run(spark, tables)) == key(docs)
+
+
+def test_components_of_few_links_take_one_task(spark, monkeypatch):
+    """Paths, stars, rings and chance links: no step is run for them, and the steps give the same."""
+    draw = random.Random(5)
+    chain = draw.sample(range(1000, 1300), 300)
+    links = list(zip(chain, chain[1:], strict=False)) + [(5000, x) for x in range(4000, 4100)] + [(6000 + i, 6000 + (i + 1) % 50) for i in range(50)]
+    links += [(draw.randrange(7000, 7400), draw.randrange(7000, 7400)) for _ in range(220)] + [(-(1 << 62), 1 << 62), (9, 9), (None, 3), (8, None), (6000, 6001)]
+    least: dict[int, int] = {}
+    for a, b in links:
+        if a is not None and b is not None and a != b:
+            x, y = least.setdefault(a, a), least.setdefault(b, b)
+            least |= {k: min(x, y) for k, v in least.items() if v in (x, y)}
+    df = spark.createDataFrame(links, "a long, b long").repartition(5)
+    monkeypatch.setattr(_components, "HELD", 0, raising=False)
+    assert sorted(map(tuple, _components.connected_components(df).collect())) == sorted(least.items())
+    monkeypatch.undo()
+    monkeypatch.setattr(_components, "_steps", None)
+    assert sorted(map(tuple, _components.connected_components(df).collect())) == sorted(least.items())
+    assert _components.connected_components(df.where("a is null")).count() == 0
